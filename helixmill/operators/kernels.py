@@ -220,12 +220,31 @@ def direct_repeats(raw: np.ndarray, n_core: int):
     return np.stack((left[keep], unit[keep], spacer[keep]), 1)
 
 
+def periodic_runs(raw: np.ndarray, slack: int, periods):
+    """Per position: period, start and end of the long periodic run it lies in (period 0: none)."""
+    period, start, end = (np.zeros(len(raw), np.int64) for _ in range(3))
+    for p in periods:
+        if len(raw) < 4 * p + slack:
+            break
+        s, e = true_runs(raw[:-p] == raw[p:])
+        for lo, hi in zip(s, e + p):
+            if hi - lo >= 4 * p + slack:
+                free = np.flatnonzero(period[lo:hi] == 0) + lo
+                period[free], start[free], end[free] = p, lo, hi
+    return period, start, end
+
+
 def paired_arms(raw: np.ndarray, k: int, max_loop: int, n_core: int, complement: bool):
     """(left, right, arm, first right of its key) of inverted (or mirror) repeats.
 
     Seeds are k-mers whose partner word starts k..k+max_loop further on. A longer arm must keep
     the seed relation at both ends, so it is found by walking outwards from an inner seed and
     testing that the outer left word equals the inner one.
+
+    Inside a long run with a period of at most k, a paired seed means the whole run pairs, so
+    the same hit recurs one period further in, with a longer arm, up
+    to the end of the run. Only the hits near that end can win their key, so walkers jump there
+    and the others are not listed; this keeps microsatellites linear.
     """
     own = word_codes(raw, k)
     pair = word_codes(raw, k, "revcomp" if complement else "reverse")
@@ -239,31 +258,33 @@ def paired_arms(raw: np.ndarray, k: int, max_loop: int, n_core: int, complement:
     if not lefts:
         return np.empty((0, 4), np.int64)
     inner, right = np.concatenate(lefts), np.concatenate(rights)
-    found = [(inner, right, np.full(len(inner), k))]
-    step = 0
-    live, live_right = inner, right
-    while len(live):
-        step += 1
-        out = live_right + k - 1 + step
-        ok = (live - step >= 0) & (out < len(raw))
-        live, live_right, out = live[ok], live_right[ok], out[ok]
-        ok = raw[live - step] == partner[out]
-        live, live_right = live[ok], live_right[ok]
-        same = own[live - step] == own[live]
-        if same.any():
-            found.append((live[same] - step, live_right[same], np.full(int(same.sum()), k + step)))
+    if not len(inner):
+        return np.empty((0, 4), np.int64)
+    period, run_start, run_end = (x[inner] for x in periodic_runs(raw, 2 * max_loop + 4 * k, range(1, k + 1)))
+    horizon = run_end - 2 * period - max_loop - 1
+    walk = np.zeros(len(inner), np.int64)
+    out = right + k - 1
+    found = []
+    while len(inner):
+        left = inner - walk
+        listed = own[left] == own[inner]
+        listed &= ~((period > 0) & (left >= run_start) & (out < horizon)) & (left < n_core)
+        found.append((left[listed], right[listed], k + walk[listed]))
+        inside = (period > 0) & (left > run_start) & (out < horizon)
+        walk = walk + np.where(inside, np.maximum(np.minimum(horizon - out, left - run_start), 1), 1)
+        out = right + k - 1 + walk
+        ok = (walk <= inner) & (out < len(raw))
+        ok[ok] = raw[inner[ok] - walk[ok]] == partner[out[ok]]
+        inner, right, walk, out = inner[ok], right[ok], walk[ok], out[ok]
+        period, run_start, horizon = period[ok], run_start[ok], horizon[ok]
     left, right, arm = (np.concatenate(x).astype(np.int64) for x in zip(*found))
-    mine = left < n_core
-    left, right, arm = left[mine], right[mine], arm[mine]
     if not len(left):
         return np.empty((0, 4), np.int64)
     keep = _best_per_key(arm, left, right)
     left, right, arm = left[keep], right[keep], arm[keep]
     loop = right - left - arm
     keep = _best_per_key(arm, left, loop)
-    # rows are ordered by (left, right) so the first right of a key is its group minimum
-    key = left * (max_loop + 1) + loop
-    uniq, inverse = np.unique(key, return_inverse=True)
+    uniq, inverse = np.unique(left * (max_loop + 1) + loop, return_inverse=True)
     first_right = np.full(len(uniq), np.iinfo(np.int64).max)
     np.minimum.at(first_right, inverse, right)
     return np.stack((left[keep], right[keep], arm[keep], first_right[inverse[keep]]), 1)

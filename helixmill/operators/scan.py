@@ -11,6 +11,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from helixmill import catalogs, tables as T
@@ -24,6 +25,8 @@ CANDIDATE_SCHEMA = (
 )
 _FIELDS = [f.split()[0] for f in CANDIDATE_SCHEMA.split(", ")]
 _OWN = _FIELDS[6:]
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
+_ARROW_SCHEMA = pa.schema([(f.split()[0], _ARROW[f.split()[1]]) for f in CANDIDATE_SCHEMA.split(", ")])
 
 _LONG_A, _LONG_T = re.compile("A{%d,}" % T.LONG_TRACT), re.compile("T{%d,}" % T.LONG_TRACT)
 _RIZ = [(family, re.compile(regex)) for family, regex, *_ in catalogs.RIZ]
@@ -185,9 +188,9 @@ def scan_candidates(chunks: DataFrame, detectors=tuple(SCANNERS)) -> DataFrame:
     """Candidate rows of the given detectors (numbers from ``tables``), 0-based half-open."""
 
     def run(batches):
-        for pdf in batches:
+        for batch in batches:
             columns = {name: [] for name in _FIELDS}
-            for seq_id, name, seq_len, lo, hi, text in pdf.itertuples(index=False):
+            for seq_id, name, seq_len, lo, hi, text in zip(*(c.to_pylist() for c in batch.columns)):
                 chunk = Chunk(text, hi - lo)
                 for det in detectors:
                     for emit, row in enumerate(SCANNERS[det](chunk)):
@@ -197,18 +200,15 @@ def scan_candidates(chunks: DataFrame, detectors=tuple(SCANNERS)) -> DataFrame:
                             if key in row:
                                 row[key] += lo
                         if "centers" in row:
-                            row["centers"] = row["centers"] + lo
+                            row["centers"] = (row["centers"] + lo).tolist()
                         row["emit"] = emit
                         for value, key in zip((seq_id, name, seq_len, lo, hi, det), _FIELDS):
                             columns[key].append(value)
                         for key in _OWN:
                             columns[key].append(row.get(key))
-            out = pd.DataFrame(columns)
-            for key in ("seen", "unit", "copies", "arm", "loop", "n_hits", "rez_start", "rez_end"):
-                out[key] = out[key].astype("Int64")
-            yield out
+            yield pa.RecordBatch.from_pydict(columns, schema=_ARROW_SCHEMA)
 
-    return chunks.mapInPandas(run, CANDIDATE_SCHEMA)
+    return chunks.mapInArrow(run, CANDIDATE_SCHEMA)
 
 
 def scan_patterns(sequences: DataFrame, patterns: list[tuple]) -> DataFrame:

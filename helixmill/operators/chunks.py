@@ -21,7 +21,7 @@ from helixmill import tables as T
 from helixmill.operators import kernels as K
 
 CHUNK_LEN = 100_000
-CONTEXT = 4_200  # covers extension zones (4 050), direct repeats (620) and arms up to ~2 kb
+CONTEXT = T.CHUNK_CONTEXT
 
 CHUNK_SCHEMA = (
     "seq_id bigint, seq_name string, seq_len bigint, chunk_start bigint, chunk_end bigint, text string"

@@ -234,7 +234,25 @@ def periodic_runs(raw: np.ndarray, slack: int, periods):
     return period, start, end
 
 
-def paired_arms(raw: np.ndarray, k: int, max_loop: int, n_core: int, complement: bool):
+def nearly_pure(raw: np.ndarray, letters: bytes, share: float, width: int) -> np.ndarray:
+    """Positions inside some stretch of at least ``width`` bases with that share of ``letters``.
+
+    With +1 for a wanted base and -share/(1-share) for another, such a stretch is one whose
+    running sum does not drop; the furthest end per start is a search in the suffix maximum.
+    """
+    step = np.where(np.isin(raw, list(letters)), 1.0, -share / (1 - share))
+    height = np.concatenate(([0.0], np.cumsum(step)))
+    ahead = np.maximum.accumulate(height[::-1])
+    furthest = len(raw) - np.searchsorted(ahead, height[:-1] - 1e-6)
+    at = np.arange(len(raw))
+    good = furthest - at >= width
+    edge = np.zeros(len(raw) + 1, np.int64)
+    np.add.at(edge, at[good], 1)
+    np.add.at(edge, furthest[good], -1)
+    return np.cumsum(edge)[:-1] > 0
+
+
+def paired_arms(raw: np.ndarray, k: int, max_loop: int, n_core: int, complement: bool, inside=None):
     """(left, right, arm, first right of its key) of inverted (or mirror) repeats.
 
     Seeds are k-mers whose partner word starts k..k+max_loop further on. A longer arm must keep
@@ -244,15 +262,24 @@ def paired_arms(raw: np.ndarray, k: int, max_loop: int, n_core: int, complement:
     Inside a long run with a period of at most k, a paired seed means the whole run pairs, so
     the same hit recurs one period further in, with a longer arm, up
     to the end of the run. Only the hits near that end can win their key, so walkers jump there
-    and the others are not listed; this keeps microsatellites linear.
+    and the others are not listed; this keeps microsatellites linear. ``inside`` marks the
+    positions a left arm may cover, if the caller only wants some.
     """
     own = word_codes(raw, k)
     pair = word_codes(raw, k, "revcomp" if complement else "reverse")
     partner = _COMPLEMENT[raw] if complement else raw
+    usable = own >= 0
+    if inside is not None:
+        usable &= inside[: len(own)] & inside[k - 1 :]
+    at = np.flatnonzero(usable)
+    dense = 4 * len(at) > len(own)
     lefts, rights = [], []
     for delta in range(k, min(k + max_loop, len(own) - 1) + 1):
-        i = np.flatnonzero(own[:-delta] == pair[delta:])
-        i = i[own[i] >= 0]
+        if dense:
+            i = np.flatnonzero((own[:-delta] == pair[delta:]) & usable[:-delta])
+        else:
+            i = at[: np.searchsorted(at, len(own) - delta)]
+            i = i[own[i] == pair[i + delta]]
         lefts.append(i)
         rights.append(i + delta)
     if not lefts:

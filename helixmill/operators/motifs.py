@@ -14,15 +14,12 @@ from pyspark.sql import functions as F
 from helixmill import catalogs, tables as T
 from helixmill.functions import scoring as S
 from helixmill.functions.sequence import count_of, gc_percent, percent
-from helixmill.operators.chunks import CONTEXT, chunk_sequences
+from helixmill.operators.chunks import chunk_sequences
 from helixmill.operators.overlap import resolve_open, settle_in_chunks
 from helixmill.operators.scan import SCANNERS, scan_candidates
 from helixmill.session import materialize
 
 ALL = tuple(SCANNERS)
-# how far a candidate may reach beyond the core of its chunk
-REACH = {T.SLIPPED: 640, T.CRUCIFORM: CONTEXT, T.R_LOOP: 4_100, T.TRIPLEX: CONTEXT}
-
 MOTIF_COLUMNS = [
     "seq_id",
     "id",
@@ -123,7 +120,7 @@ def _with_order(df: DataFrame) -> DataFrame:
             }
         ).alias("grp"),
         F.when(F.col("det").isin(T.CURVED, T.SLIPPED), 1).otherwise(0).alias("slack"),
-        _per_detector({d: F.lit(r) for d, r in REACH.items()}, F.lit(0)).alias("reach"),
+        _per_detector({d: F.lit(r) for d, r in T.REACH.items()}, F.lit(0)).alias("reach"),
         by_detector(
             {
                 T.CURVED: -rounded,
@@ -341,7 +338,7 @@ def select_winners(scored: DataFrame, detectors=ALL) -> DataFrame:
     splitting it does not repeat the scan.
     """
     settled = settle_in_chunks(_with_order(scored))
-    if not any(d in REACH for d in detectors):
+    if not any(d in T.REACH for d in detectors):
         return settled
     table = materialize(settled)
     open_rows = resolve_open(table.where(~F.col("settled")))

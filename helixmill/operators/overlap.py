@@ -13,7 +13,9 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
@@ -38,6 +40,29 @@ class Cover:
         self.starts[first:last], self.ends[first:last] = [lo], [hi]
 
 
+def open_zone(chunk_start, chunk_end, seq_len, reach):
+    """(left, right): an interval outside this range may meet one of another chunk."""
+    left = chunk_start + reach if chunk_start > 0 else -1
+    right = seq_len + 1 if chunk_end >= seq_len else chunk_end - (25 if reach else 0)
+    return left, right
+
+
+def fates(ranked, left_open, right_open):
+    """For intervals in rank order: 0 beaten, 1 wins for certain, 2 depends on another chunk."""
+    taken, unknown = Cover(), Cover()
+    for lo, hi in ranked:
+        if lo >= hi:
+            yield 1
+        elif taken.meets(lo, hi):
+            yield 0
+        elif lo < left_open or hi > right_open or unknown.meets(lo, hi):
+            unknown.add(lo, hi)
+            yield 2
+        else:
+            taken.add(lo, hi)
+            yield 1
+
+
 def settle_in_chunks(df: DataFrame) -> DataFrame:
     """Decide candidates inside their chunk; adds ``settled``.
 
@@ -45,51 +70,47 @@ def settle_in_chunks(df: DataFrame) -> DataFrame:
     partition), with columns grp, slack, reach, k1..k4. ``grp`` null means "nothing to resolve".
     ``reach`` is how far candidates of a neighbouring chunk may extend across the border.
     """
-    names = df.columns
-
-    def decide(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["k1", "k2", "k3", "k4"], kind="stable")
-        first = rows.iloc[0]
-        left_open = first["chunk_start"] + first["reach"] if first["chunk_start"] > 0 else -1
-        right_open = first["chunk_end"] - (25 if first["reach"] else 0)
-        if first["chunk_end"] >= first["seq_len"]:
-            right_open = first["seq_len"] + 1
-        taken, unknown = Cover(), Cover()
-        fate = []
-        for lo, hi in zip((rows["start"] + first["slack"]).tolist(), rows["end"].tolist()):
-            if lo >= hi:
-                fate.append(1)
-            elif taken.meets(lo, hi):
-                fate.append(0)
-            elif lo < left_open or hi > right_open or unknown.meets(lo, hi):
-                unknown.add(lo, hi)
-                fate.append(2)
-            else:
-                taken.add(lo, hi)
-                fate.append(1)
-        rows = rows.assign(settled=[f == 1 for f in fate])
-        return rows[[f > 0 for f in fate]]
-
-    def settle_chunk(rows: pd.DataFrame) -> pd.DataFrame:
-        free = rows[rows["grp"].isna()].assign(settled=True)
-        parts = [decide(group) for _, group in rows[rows["grp"].notna()].groupby("grp", sort=False)]
-        return pd.concat([free, *parts])
+    def column(table, name):
+        return table.column(name).to_numpy()
+
+    def decide(table: pa.Table):
+        group = table.column("grp").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+        seq, chunk = column(table, "seq_id"), column(table, "chunk_start")
+        keys = [column(table, k) for k in ("k4", "k3", "k2", "k1")]
+        ranked = np.lexsort((*keys, group, chunk, seq))
+        lo = (column(table, "start") + column(table, "slack"))[ranked].tolist()
+        hi = column(table, "end")[ranked].tolist()
+        cell = np.stack((seq, chunk, group))[:, ranked]
+        heads = np.concatenate(([0], np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(axis=0)) + 1, [len(ranked)]))
+        fate = np.ones(len(ranked), np.int8)
+        limits = [column(table, n) for n in ("chunk_start", "chunk_end", "seq_len", "reach")]
+        for s, e in zip(heads, heads[1:]):
+            if cell[2, s] >= 0:
+                zone = open_zone(*(int(x[ranked[s]]) for x in limits))
+                fate[s:e] = list(fates(zip(lo[s:e], hi[s:e]), *zone))
+        by_row = np.empty_like(fate)
+        by_row[ranked] = fate
+        kept = table.filter(pa.array(by_row > 0))
+        yield from kept.append_column("settled", pa.array(by_row[by_row > 0] == 1)).combine_chunks().to_batches()
 
     def run(batches):
         held = None
-        for pdf in batches:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
             if held is not None:
-                pdf = pd.concat([held, pdf], ignore_index=True)
-            if not len(pdf):
+                table = pa.concat_tables([held, table])
+            if not table.num_rows:
                 continue
-            same = (pdf["seq_id"] == pdf["seq_id"].iloc[-1]) & (pdf["chunk_start"] == pdf["chunk_start"].iloc[-1])
-            held, done = pdf[same], pdf[~same]
-            for _, chunk in done.groupby(["seq_id", "chunk_start"], sort=False):
-                yield settle_chunk(chunk)[[*names, "settled"]]
-        if held is not None:
-            yield settle_chunk(held)[[*names, "settled"]]
-
-    return df.mapInPandas(run, StructType([*df.schema.fields, StructField("settled", BooleanType())]))
+            seq, chunk = column(table, "seq_id"), column(table, "chunk_start")
+            other = np.flatnonzero((seq != seq[-1]) | (chunk != chunk[-1]))
+            border = int(other[-1]) + 1 if len(other) else 0
+            held = table.slice(border)
+            if border:
+                yield from decide(table.slice(0, border))
+        if held is not None and held.num_rows:
+            yield from decide(held)
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("settled", BooleanType())]))
 
 
 def resolve_open(df: DataFrame, binned: bool = False) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 
 from helixmill import catalogs, tables as T
 from helixmill.operators import kernels as K
+from helixmill.operators.overlap import fates, open_zone
 
 CANDIDATE_SCHEMA = (
     "seq_id bigint, seq_name string, seq_len bigint, chunk_start bigint, chunk_end bigint, "
@@ -40,12 +41,25 @@ _HUR = [(linker, re.compile(regex)) for _, linker, regex in catalogs.hur_pattern
 class Chunk:
     """The text of one chunk row and the arrays derived from it."""
 
-    def __init__(self, text, n_core):
+    def __init__(self, text, n_core, lo=0, seq_len=None):
         self.text, self.n_core = text, n_core
+        self.lo, self.seq_len = lo, n_core if seq_len is None else seq_len
         self.core = text[:n_core]
         self.raw = K.to_bytes(text)
         self.raw_core = self.raw[:n_core]
 
+    def contenders(self, start, end, order, reach):
+        """Rows that win inside this chunk or may still meet a row of a neighbouring chunk.
+
+        Pairing scans list many overlapping hits per position; the losers stay here instead of
+        travelling with their text.
+        """
+        ranked = np.lexsort(tuple(order)[::-1])
+        zone = open_zone(self.lo, self.lo + self.n_core, self.seq_len, reach)
+        spans = zip((start[ranked] + self.lo).tolist(), (end[ranked] + self.lo).tolist())
+        fate = np.fromiter(fates(spans, *zone), np.int8, len(ranked))
+        return np.sort(ranked[fate > 0])
+
     def slice(self, start, end):
         return self.text[start:end]
 
@@ -72,7 +86,11 @@ def _slipped(c: Chunk):
     for unit in T.STR_UNITS:
         for start, copies in K.tandem_repeats(c.raw_core, unit):
             found.append((start, _candidate("STR", start, start + unit * copies, unit=unit, copies=copies)))
-    for left, unit, spacer in K.direct_repeats(c.raw, c.n_core).tolist():
+    left, unit, spacer = K.direct_repeats(c.raw, c.n_core).T
+    end = left + 2 * unit + spacer
+    score = np.round(np.minimum(unit / 30.0, 0.95), 3)
+    keep = c.contenders(left + 1, end, (-score, left - end), T.REACH[T.SLIPPED])
+    for left, unit, spacer in zip(*(x[keep].tolist() for x in (left, unit, spacer))):
         found.append((left, _candidate("DIRECT", left, left + 2 * unit + spacer, unit=unit, loop=spacer)))
     for _, row in sorted(found, key=lambda x: x[0]):
         if row["family"] == "STR":
@@ -82,8 +100,14 @@ def _slipped(c: Chunk):
 
 def _cruciform(c: Chunk):
     rows = K.paired_arms(c.raw, T.INVERTED_SEED, T.INVERTED_MAX_LOOP, c.n_core, complement=True)
-    for left, right, arm, _ in rows.tolist():
-        yield _candidate("INVERTED", left, right + arm, arm=arm, loop=right - left - arm)
+    left, right, arm, _ = rows.T
+    loop, end = right - left - arm, right + arm
+    score = np.round(arm / (arm + 8.0) * (1.0 - loop / T.INVERTED_MAX_LOOP), 6)
+    strong = score > T.CRUCIFORM_GATE
+    left, end, arm, loop, score = (x[strong] for x in (left, end, arm, loop, score))
+    keep = c.contenders(left, end, (-score, left - end, left), T.REACH[T.CRUCIFORM])
+    for start, end, arm, loop in zip(*(x[keep].tolist() for x in (left, end, arm, loop))):
+        yield _candidate("INVERTED", start, end, arm=arm, loop=loop)
 
 
 def _r_loop(c: Chunk):
@@ -103,7 +127,8 @@ def _r_loop(c: Chunk):
 
 def _triplex(c: Chunk):
     k = T.MIRROR_SEED
-    rows = K.paired_arms(c.raw, k, T.MIRROR_MAX_LOOP, c.n_core, complement=False)
+    pure = K.nearly_pure(c.raw, b"AG", T.MIRROR_PURITY, k) | K.nearly_pure(c.raw, b"CT", T.MIRROR_PURITY, k)
+    rows = K.paired_arms(c.raw, k, T.MIRROR_MAX_LOOP, c.n_core, complement=False, inside=pure)
     if len(rows):
         purine = np.concatenate(([0], np.cumsum(np.isin(c.raw, list(b"AG")))))
         pyrimidine = np.concatenate(([0], np.cumsum(np.isin(c.raw, list(b"CT")))))
@@ -191,7 +216,7 @@ def scan_candidates(chunks: DataFrame, detectors=tuple(SCANNERS)) -> DataFrame:
         for batch in batches:
             columns = {name: [] for name in _FIELDS}
             for seq_id, name, seq_len, lo, hi, text in zip(*(c.to_pylist() for c in batch.columns)):
-                chunk = Chunk(text, hi - lo)
+                chunk = Chunk(text, hi - lo, lo, seq_len)
                 for det in detectors:
                     for emit, row in enumerate(SCANNERS[det](chunk)):
                         if "seq" not in row:

@@ -181,57 +181,97 @@ def _best_per_key(first, *keys):
     return order[change]
 
 
+def _repeated_words(code: np.ndarray, k: int, n_core: int, max_delta: int):
+    """(left, distance) of equal words at most ``max_delta`` apart and not overlapping."""
+    at = np.flatnonzero(code >= 0)
+    at = at[np.argsort(code[at], kind="stable")]
+    word = code[at]
+    lag = 0
+    while True:
+        lag += 1
+        delta = at[lag:] - at[:-lag]
+        near = (word[lag:] == word[:-lag]) & (delta <= max_delta)
+        if not near.any():
+            return
+        near &= (delta >= k) & (at[:-lag] < n_core)
+        yield at[:-lag][near], delta[near]
+
+
 def direct_repeats(raw: np.ndarray, n_core: int):
     """(left, unit, spacer) of direct repeats whose left unit starts in the core.
 
-    Each distance gets one vector comparison of word codes; only seeds are extended.
+    Equal words are paired by sorting; a pair survives if the last word a unit of the least
+    admissible length would need is equal too. Survivors are extended distance by distance.
     """
     k, max_unit, max_spacer = T.DIRECT_SEED, T.DIRECT_MAX_UNIT, T.DIRECT_MAX_SPACER
-    code = word_codes(raw, k)
-    lefts, units, spacers = [], [], []
-    for delta in range(k, min(max_unit + max_spacer, len(raw) - k) + 1):
-        seed = np.flatnonzero(code[: len(code) - delta] == code[delta:])
-        seed = seed[seed < n_core]
-        seed = seed[code[seed] >= 0]
-        least = max(k, delta - max_spacer)
-        if len(seed) and least > k:
-            tail = seed + least - k
-            seed, tail = seed[tail + delta < len(code)], tail[tail + delta < len(code)]
-            same = raw[tail] == raw[tail + delta]
-            for t in range(1, k):
-                same &= raw[tail + t] == raw[tail + t + delta]
-            seed = seed[same]
-        if not len(seed):
-            continue
-        unit = np.minimum(_run_to_mismatch(raw[:-delta] == raw[delta:], seed), min(delta, max_unit))
-        good = unit >= least
-        lefts.append(seed[good])
-        units.append(unit[good])
-        spacers.append(delta - unit[good])
-    if not lefts:
-        return np.empty((0, 3), np.int64)
-    left, unit, spacer = map(np.concatenate, (lefts, units, spacers))
-    first = left.astype(np.int64) * 512 + unit + spacer
-    keep = _best_per_key(unit, left, spacer)
-    seen = np.full(int(left.max() + 1) * 16, np.iinfo(np.int64).max) if len(left) else None
-    slot = left.astype(np.int64) * 16 + spacer
-    np.minimum.at(seen, slot, first)
-    keep = keep[np.argsort(seen[slot[keep]], kind="stable")]
-    return np.stack((left[keep], unit[keep], spacer[keep]), 1)
+    none = np.empty((0, 3), np.int64)
+    pairs = []
+    for left, delta in _repeated_words(word_codes(raw, k), k, n_core, max_unit + max_spacer):
+        tail = left + np.maximum(k, delta - max_spacer) - k
+        ok = tail + delta + k <= len(raw)
+        left, delta, tail = left[ok], delta[ok], tail[ok]
+        same = np.ones(len(left), bool)
+        for t in range(k):
+            same &= raw[tail + t] == raw[tail + t + delta]
+        pairs.append((left[same], delta[same]))
+    if not pairs:
+        return none
+    left, delta = (np.concatenate(x) for x in zip(*pairs))
+    if not len(left):
+        return none
+    by_delta = np.argsort(delta, kind="stable")
+    left, delta = left[by_delta], delta[by_delta]
+    heads = np.concatenate(([0], np.flatnonzero(np.diff(delta)) + 1, [len(delta)]))
+    unit = np.empty(len(left), np.int64)
+    for s, e in zip(heads, heads[1:]):
+        d = int(delta[s])
+        unit[s:e] = np.minimum(_run_to_mismatch(raw[:-d] == raw[d:], left[s:e]), min(d, max_unit))
+    good = unit >= np.maximum(k, delta - max_spacer)
+    left, unit, delta = left[good], unit[good], delta[good]
+    if not len(left):
+        return none
+    key, inverse = np.unique(left * (max_spacer + 1) + delta - unit, return_inverse=True)
+    first = np.full(len(key), np.iinfo(np.int64).max)
+    np.minimum.at(first, inverse, left * 512 + delta)
+    keep = _best_per_key(unit, left, delta - unit)
+    keep = keep[np.argsort(first[inverse[keep]], kind="stable")]
+    return np.stack((left[keep], unit[keep], (delta - unit)[keep]), 1)
 
 
-def periodic_runs(raw: np.ndarray, slack: int, periods):
-    """Per position: period, start and end of the long periodic run it lies in (period 0: none)."""
-    period, start, end = (np.zeros(len(raw), np.int64) for _ in range(3))
-    for p in periods:
-        if len(raw) < 4 * p + slack:
+def spaced_repeats(raw: np.ndarray, least: int, most: int | None, gap: int) -> list[tuple[int, int]]:
+    """Spans of unit, up to ``gap`` bases, same unit: leftmost, longest unit, widest gap first.
+
+    The same spans as the back-reference ``(unit{least,most})(?:any{0,gap})\\1``, found by
+    comparing the text with itself at each distance instead of by backtracking.
+    """
+    n = len(raw)
+    most = n if most is None else most
+    unit, distance = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for d in range(least, min(most + gap, n - least) + 1):
+        need = max(least, d - gap)
+        if need > n - d:
             break
-        s, e = true_runs(raw[:-p] == raw[p:])
-        for lo, hi in zip(s, e + p):
-            if hi - lo >= 4 * p + slack:
-                free = np.flatnonzero(period[lo:hi] == 0) + lo
-                period[free], start[free], end[free] = p, lo, hi
-    return period, start, end
+        if need > 64:  # a run this long meets two neighbouring probes
+            probe = np.arange(0, n - d, need // 2)
+            hit = raw[probe] == raw[probe + d]
+            if not (hit[:-1] & hit[1:]).any():
+                continue
+        s, e = true_runs(raw[:-d] == raw[d:])
+        long = e - s >= need
+        for lo, hi in zip(s[long].tolist(), e[long].tolist()):
+            at = np.arange(lo, hi - need + 1)
+            here = np.minimum(hi - at, min(d, most))
+            better = here >= unit[at]
+            unit[at[better]], distance[at[better]] = here[better], d
+    out, pos = [], 0
+    starts = np.flatnonzero(unit)
+    while True:
+        nxt = np.searchsorted(starts, pos)
+        if nxt == len(starts):
+            return out
+        i = int(starts[nxt])
+        pos = i + int(distance[i] + unit[i])
+        out.append((i, pos))
 
 
 def nearly_pure(raw: np.ndarray, letters: bytes, share: float, width: int) -> np.ndarray:
@@ -252,6 +292,20 @@ def nearly_pure(raw: np.ndarray, letters: bytes, share: float, width: int) -> np
     return np.cumsum(edge)[:-1] > 0
 
 
+def periodic_runs(raw: np.ndarray, slack: int, periods):
+    """Per position: period, start and end of the long periodic run it lies in (period 0: none)."""
+    period, start, end = (np.zeros(len(raw), np.int64) for _ in range(3))
+    for p in periods:
+        if len(raw) < 4 * p + slack:
+            break
+        s, e = true_runs(raw[:-p] == raw[p:])
+        long = e - s + p >= 4 * p + slack
+        for lo, hi in zip(s[long], e[long] + p):
+            free = np.flatnonzero(period[lo:hi] == 0) + lo
+            period[free], start[free], end[free] = p, lo, hi
+    return period, start, end
+
+
 def paired_arms(raw: np.ndarray, k: int, max_loop: int, n_core: int, complement: bool, inside=None):
     """(left, right, arm, first right of its key) of inverted (or mirror) repeats.
 

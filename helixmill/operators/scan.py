@@ -236,6 +236,28 @@ def scan_candidates(chunks: DataFrame, detectors=tuple(SCANNERS)) -> DataFrame:
     return chunks.mapInArrow(run, CANDIDATE_SCHEMA)
 
 
+_SPACED = re.compile(r"^\(\[ATGC\]\{(\d+),(\d*)\}\)\(\?:\[ATGC\]\{0,(\d+)\}\)\\1$")
+_LETTERS = re.compile("[ATGC]+")
+
+
+def matcher(regex: str):
+    """bases -> spans. Spaced back-references would backtrack for minutes and get their own search."""
+    spaced = _SPACED.match(regex)
+    if not spaced:
+        pattern = re.compile(regex, re.I | re.A)
+        return lambda bases: [m.span() for m in pattern.finditer(bases)]
+    least, most, gap = (int(x) if x else None for x in spaced.groups())
+
+    def search(bases):
+        out = []
+        for run in _LETTERS.finditer(bases):
+            s = run.start()
+            out += [(s + a, s + b) for a, b in K.spaced_repeats(K.to_bytes(run.group()), least, most, gap)]
+        return out
+
+    return search
+
+
 def scan_patterns(sequences: DataFrame, patterns: list[tuple]) -> DataFrame:
     """Leftmost non-overlapping matches of a catalog over whole sequences.
 
@@ -249,13 +271,12 @@ def scan_patterns(sequences: DataFrame, patterns: list[tuple]) -> DataFrame:
     )
 
     def run(batches):
-        compiled = [(n, cls, pid, sub, re.compile(rx, re.I | re.A)) for n, (cls, pid, sub, rx) in enumerate(patterns)]
+        compiled = [(n, cls, pid, sub, matcher(rx)) for n, (cls, pid, sub, rx) in enumerate(patterns)]
         for pdf in batches:
             out = []
             for seq_id, name, bases in pdf.itertuples(index=False):
-                for n, cls, pid, sub, pattern in compiled:
-                    for m in pattern.finditer(bases):
-                        s, e = m.span()
+                for n, cls, pid, sub, find in compiled:
+                    for s, e in find(bases):
                         out.append((seq_id, name, len(bases), n, cls, pid, sub, s + 1, e, bases[s:e]))
             yield pd.DataFrame(out, columns=[f.split()[0] for f in schema.split(", ")])
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from helixmill import tables as T
@@ -110,25 +110,36 @@ def _long_palindromes(text: str, probe: int = 24, step: int = 1024) -> list[tupl
     return found
 
 
+def cut_sequence(bases: str, chunk_len: int, context: int):
+    """(core start, core end, text) of each chunk of one sequence."""
+    points = cut_points(bases, chunk_len)
+    far = _long_palindromes(bases) if len(points) > 2 else ()
+    for start, end in zip(points, points[1:]):
+        stop = end + context
+        for leftmost, inner, total in far:
+            if leftmost < end and inner > start:
+                stop = max(stop, total - max(leftmost, start) + 1)
+        yield start, end, bases[start:stop]
+
+
 def chunk_sequences(sequences: DataFrame, chunk_len: int = CHUNK_LEN, context: int = CONTEXT) -> DataFrame:
     """(seq_id, seq_name, bases) -> chunk rows. Narrow: no shuffle, one row in, n rows out.
 
-    Few giant sequences can be spread afterwards with ``chunks.repartition(...)``: every chunk
-    row carries all it needs.
+    Scans cut plain sequences by themselves; this form is for spreading few giant sequences with
+    ``chunk_sequences(...).repartition(...)``: every chunk row carries all it needs.
     """
 
     def cut(batches):
-        for pdf in batches:
-            out = []
-            for seq_id, name, bases in zip(pdf["seq_id"], pdf["seq_name"], pdf["bases"]):
-                points = cut_points(bases, chunk_len)
-                far = _long_palindromes(bases) if len(points) > 2 else ()
-                for start, end in zip(points, points[1:]):
-                    stop = end + context
-                    for leftmost, inner, total in far:
-                        if leftmost < end and inner > start:
-                            stop = max(stop, total - max(leftmost, start) + 1)
-                    out.append((seq_id, name, len(bases), start, end, bases[start:stop]))
-            yield pd.DataFrame(out, columns=["seq_id", "seq_name", "seq_len", "chunk_start", "chunk_end", "text"])
-
-    return sequences.select("seq_id", "seq_name", "bases").mapInPandas(cut, CHUNK_SCHEMA)
+        for batch in batches:
+            rows = [
+                (seq_id, name, len(bases), *piece)
+                for seq_id, name, bases in zip(*(c.to_pylist() for c in batch.columns))
+                for piece in cut_sequence(bases, chunk_len, context)
+            ]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=_CHUNK_FIELDS)
+
+    return sequences.select("seq_id", "seq_name", "bases").mapInArrow(cut, CHUNK_SCHEMA)
+
+
+_CHUNK_FIELDS = [f.split()[0] for f in CHUNK_SCHEMA.split(", ")]

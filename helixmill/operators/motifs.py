@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from helixmill import catalogs, tables as T
 from helixmill.functions import scoring as S
 from helixmill.functions.sequence import count_of, gc_percent, percent
-from helixmill.operators.chunks import chunk_sequences
 from helixmill.operators.overlap import resolve_open, settle_in_chunks
 from helixmill.operators.scan import SCANNERS, scan_candidates
 from helixmill.session import materialize
@@ -71,13 +70,16 @@ def raw_score(full: bool = True) -> Column:
     )
 
 
-def _gate() -> Column:
-    score = F.col("raw_score")
-    return (
-        F.when(F.col("det").isin(T.CURVED, T.CRUCIFORM), score > T.CURVED_GATE)
-        .when(F.col("det") == T.Z_DNA, score > T.Z_GATE)
-        .when(F.col("det") == T.A_PHILIC, score > T.A_PHILIC_GATE)
-        .otherwise(F.lit(True))
+def _floor() -> Column:
+    """The score a candidate has to exceed."""
+    return _per_detector(
+        {
+            T.CURVED: F.lit(T.CURVED_GATE),
+            T.CRUCIFORM: F.lit(T.CRUCIFORM_GATE),
+            T.Z_DNA: F.lit(T.Z_GATE),
+            T.A_PHILIC: F.lit(T.A_PHILIC_GATE),
+        },
+        F.lit(-1.0),
     )
 
 
@@ -296,10 +298,13 @@ def _details() -> Column:
     return F.struct(*[value.alias(name) for name, value in fields.items()])
 
 
-def candidates(chunks: DataFrame, detectors=ALL) -> DataFrame:
+def candidates(source: DataFrame, detectors=ALL, chunk_len: int | None = None) -> DataFrame:
     """Scored, gated candidates before overlap resolution (0-based half-open)."""
-    scored = scan_candidates(chunks, tuple(detectors)).withColumn("raw_score", raw_score())
-    return scored.where(_gate())
+    return scored(source, detectors, chunk_len).where(F.col("raw_score") > F.col("floor"))
+
+
+def scored(source: DataFrame, detectors=ALL, chunk_len: int | None = None) -> DataFrame:
+    return scan_candidates(source, tuple(detectors), chunk_len).select("*", raw_score().alias("raw_score"), _floor().alias("floor"))
 
 
 def to_motifs(winners: DataFrame) -> DataFrame:
@@ -330,14 +335,14 @@ def to_motifs(winners: DataFrame) -> DataFrame:
     )
 
 
-def select_winners(scored: DataFrame, detectors=ALL) -> DataFrame:
-    """Overlap resolution of freshly scanned candidates.
+def select_winners(candidate_rows: DataFrame, detectors=ALL) -> DataFrame:
+    """Gates and overlap resolution of freshly scanned candidates.
 
     Detectors that never reach across a clean cut are settled without any shuffle. The others
     leave a thin set of open rows at chunk borders; the settled table is written once so that
     splitting it does not repeat the scan.
     """
-    settled = settle_in_chunks(_with_order(scored))
+    settled = settle_in_chunks(_with_order(candidate_rows))
     if not any(d in T.REACH for d in detectors):
         return settled
     table = materialize(settled)
@@ -346,6 +351,5 @@ def select_winners(scored: DataFrame, detectors=ALL) -> DataFrame:
 
 
 def detect(sequences: DataFrame, detectors=ALL, chunk_len: int | None = None) -> DataFrame:
-    """(seq_id, seq_name, bases) -> motifs of the given detectors, overlaps resolved."""
-    chunks = chunk_sequences(sequences, chunk_len) if chunk_len else chunk_sequences(sequences)
-    return to_motifs(select_winners(candidates(chunks, detectors), detectors))
+    """Sequences (seq_id, seq_name, bases) or chunk rows -> motifs, overlaps resolved."""
+    return to_motifs(select_winners(scored(sequences, detectors, chunk_len), detectors))

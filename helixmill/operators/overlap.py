@@ -67,13 +67,17 @@ def settle_in_chunks(df: DataFrame) -> DataFrame:
     """Decide candidates inside their chunk; adds ``settled``.
 
     Needs the rows exactly as a chunk scan left them (all rows of a chunk adjacent in one
-    partition), with columns grp, slack, reach, k1..k4. ``grp`` null means "nothing to resolve".
+    partition), with columns raw_score, floor, grp, slack, reach, k1..k4. Rows at or below their
+    floor are dropped first; filtering here keeps the score from being evaluated twice. ``grp`` null means "nothing to resolve".
     ``reach`` is how far candidates of a neighbouring chunk may extend across the border.
     """
     def column(table, name):
         return table.column(name).to_numpy()
 
     def decide(table: pa.Table):
+        table = table.filter(pa.array(column(table, "raw_score") > column(table, "floor")))
+        if not table.num_rows:
+            return
         group = table.column("grp").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
         seq, chunk = column(table, "seq_id"), column(table, "chunk_start")
         keys = [column(table, k) for k in ("k4", "k3", "k2", "k1")]
@@ -132,13 +136,14 @@ def resolve_open(df: DataFrame, binned: bool = False) -> DataFrame:
 
 
 def select_non_overlapping(
-    motifs: DataFrame, group: list[str], order: list[Column], slack: int = 1, start="start", end="end"
+    motifs: DataFrame, group: list[str], order: list[Column], slack: int = 1, start="start", end="end", binned: bool = True
 ) -> DataFrame:
     """Greedy selection over any motif table.
 
     ``order`` lists up to four expressions, best first when ascending. ``slack=1`` lets two
     1-based inclusive intervals share one base, ``slack=0`` is the half-open test on the given
-    coordinates, and ``slack=-1`` forbids even touching ends.
+    coordinates. ``binned`` cuts even one sequence into many tasks but reads ``motifs`` more than
+    once, so it wants a table; without it, a group's rows pass one streaming window.
     """
     keys = [o.cast("double") for o in order] + [F.lit(0.0)] * (4 - len(order))
     work = motifs.select(
@@ -150,4 +155,4 @@ def select_non_overlapping(
         F.lit(slack).alias("slack"),
         *[k.alias(f"k{n}") for n, k in enumerate(keys, 1)],
     )
-    return resolve_open(work, binned=True).select("row.*")
+    return resolve_open(work, binned).select("row.*")

@@ -10,12 +10,12 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from helixmill import catalogs, tables as T
 from helixmill.operators import kernels as K
+from helixmill.operators.chunks import CHUNK_LEN, CONTEXT, cut_sequence
 from helixmill.operators.overlap import fates, open_zone
 
 CANDIDATE_SCHEMA = (
@@ -209,13 +209,29 @@ SCANNERS = {
 }
 
 
-def scan_candidates(chunks: DataFrame, detectors=tuple(SCANNERS)) -> DataFrame:
-    """Candidate rows of the given detectors (numbers from ``tables``), 0-based half-open."""
+def _pieces(batch, chunk_len):
+    rows = zip(*(c.to_pylist() for c in batch.columns))
+    if batch.num_columns > 3:
+        yield from rows
+        return
+    for seq_id, name, bases in rows:
+        for lo, hi, text in cut_sequence(bases, chunk_len, CONTEXT):
+            yield seq_id, name, len(bases), lo, hi, text
+
+
+def scan_candidates(source: DataFrame, detectors=tuple(SCANNERS), chunk_len: int | None = None) -> DataFrame:
+    """Candidate rows of the given detectors (numbers from ``tables``), 0-based half-open.
+
+    ``source`` holds sequences, which are cut on the fly, or chunk rows.
+    """
+    if "text" not in source.columns:
+        source = source.select("seq_id", "seq_name", "bases")
+    chunk_len = chunk_len or CHUNK_LEN
 
     def run(batches):
         for batch in batches:
             columns = {name: [] for name in _FIELDS}
-            for seq_id, name, seq_len, lo, hi, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for seq_id, name, seq_len, lo, hi, text in _pieces(batch, chunk_len):
                 chunk = Chunk(text, hi - lo, lo, seq_len)
                 for det in detectors:
                     for emit, row in enumerate(SCANNERS[det](chunk)):
@@ -233,7 +249,7 @@ def scan_candidates(chunks: DataFrame, detectors=tuple(SCANNERS)) -> DataFrame:
                             columns[key].append(row.get(key))
             yield pa.RecordBatch.from_pydict(columns, schema=_ARROW_SCHEMA)
 
-    return chunks.mapInArrow(run, CANDIDATE_SCHEMA)
+    return source.mapInArrow(run, CANDIDATE_SCHEMA)
 
 
 _SPACED = re.compile(r"^\(\[ATGC\]\{(\d+),(\d*)\}\)\(\?:\[ATGC\]\{0,(\d+)\}\)\\1$")
@@ -272,12 +288,15 @@ def scan_patterns(sequences: DataFrame, patterns: list[tuple]) -> DataFrame:
 
     def run(batches):
         compiled = [(n, cls, pid, sub, matcher(rx)) for n, (cls, pid, sub, rx) in enumerate(patterns)]
-        for pdf in batches:
-            out = []
-            for seq_id, name, bases in pdf.itertuples(index=False):
-                for n, cls, pid, sub, find in compiled:
-                    for s, e in find(bases):
-                        out.append((seq_id, name, len(bases), n, cls, pid, sub, s + 1, e, bases[s:e]))
-            yield pd.DataFrame(out, columns=[f.split()[0] for f in schema.split(", ")])
-
-    return sequences.select("seq_id", "seq_name", "bases").mapInPandas(run, schema)
+        for batch in batches:
+            out = [
+                (seq_id, name, len(bases), n, cls, pid, sub, s + 1, e, bases[s:e])
+                for seq_id, name, bases in zip(*(c.to_pylist() for c in batch.columns))
+                for n, cls, pid, sub, find in compiled
+                for s, e in find(bases)
+            ]
+            if out:
+                columns = [pa.array(c, _ARROW[f.split()[1]]) for c, f in zip(zip(*out), schema.split(", "))]
+                yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in schema.split(", ")])
+
+    return sequences.select("seq_id", "seq_name", "bases").mapInArrow(run, schema)

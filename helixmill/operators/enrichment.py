@@ -22,12 +22,17 @@ def shuffled(bases: Column, *salt: Column) -> Column:
 def shuffle_sequences(sequences: DataFrame, n_shuffles: int, seed: int = 42) -> DataFrame:
     """n shuffled copies per sequence, as ordinary sequence rows with a new seq_id."""
     copies = sequences.select("seq_id", "seq_name", F.upper("bases").alias("bases"), F.explode(F.sequence(F.lit(0), F.lit(n_shuffles - 1))).alias("iteration"))
-    return copies.select(
-        F.xxhash64("seq_id", "iteration").alias("seq_id"),
-        F.concat_ws("_", F.lit("shuffled"), "iteration").alias("seq_name"),
+    mixed = copies.select(
         F.col("seq_id").alias("origin_id"),
         "iteration",
-        shuffled(F.col("bases"), F.lit(seed), F.col("seq_id"), F.col("iteration")).alias("bases"),
+        shuffled(F.col("bases"), F.lit(seed), F.col("seq_id"), F.col("iteration")).alias("mixed"),
+    )
+    return mixed.select(
+        F.xxhash64("origin_id", "iteration").alias("seq_id"),
+        F.concat_ws("_", F.lit("shuffled"), "iteration").alias("seq_name"),
+        "origin_id",
+        "iteration",
+        F.col("mixed").alias("bases"),
     )
 
 

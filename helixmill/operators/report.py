@@ -102,7 +102,7 @@ def report_lines(motifs: DataFrame, strict_names: bool = False) -> DataFrame:
     return head.unionByName(body).orderBy("ord", "class", "value")
 
 
-def quality_issues(motifs: DataFrame, window: int = 1 << 20) -> DataFrame:
+def quality_issues(motifs: DataFrame) -> DataFrame:
     """One row per (motif, issue): missing fields, bad coordinates, lengths, same-class overlap.
 
     A motif overlaps a later one of its class when the next start lies before its end, so one
@@ -113,15 +113,14 @@ def quality_issues(motifs: DataFrame, window: int = 1 << 20) -> DataFrame:
     truthy = lambda *cs: [F.coalesce(F.col(c), F.lit(0)) != 0 for c in cs]
     s, e, n = truthy("start", "end", "length")
     ahead = Window.partitionBy("seq_id", "class").orderBy("start", "end")
-    nxt = F.lead("start").over(ahead)
     rules = F.array(
         F.when(missing != "", F.concat(F.lit("Missing fields: "), missing)),
         F.when(s & e & (F.col("start") >= F.col("end")), F.lit("Invalid coordinates (start >= end)")),
         F.when(s & e & n & (F.col("end") - F.col("start") + 1 != F.col("length")), F.lit("Length inconsistent with coordinates")),
         F.when((F.coalesce(F.col("sequence"), F.lit("")) != "") & n & (F.length("sequence") != F.col("length")), F.lit("Sequence length doesn't match reported length")),
-        F.when((nxt < F.col("end")) & (F.col("start") < F.col("next_end")), F.lit("Overlapping motifs in class")),
+        F.when(F.col("next_start") < F.col("end"), F.lit("Overlapping motifs in class")),
     )
-    looked = motifs.withColumn("next_end", F.lead("end").over(ahead))
+    looked = motifs.withColumn("next_start", F.lead("start").over(ahead))
     return looked.select("seq_id", "class", "start", "end", F.explode(F.array_compact(rules)).alias("issue"))
 
 

@@ -217,7 +217,7 @@ def heatmap(motifs: DataFrame, lengths: DataFrame, window: int = 1000) -> DataFr
     """
     sized = lengths.select("seq_id", "seq_len", F.greatest(F.lit(1), F.floor(F.col("seq_len") / window)).alias("bins"))
     width = F.col("seq_len") / F.col("bins")
-    placed = motifs.join(sized, "seq_id").withColumn(
+    placed = motifs.drop("seq_len").join(sized, "seq_id").withColumn(
         "bin",
         F.explode(
             F.sequence(

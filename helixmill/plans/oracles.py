@@ -143,9 +143,16 @@ ORACLES["a_tract_windows"] = f"""WITH {DNA}, {hits([("c", "p", "s", "[AT]{3,}")]
   SELECT *, greatest(max_at - max_t, max_at_rc - max_t_rc) >= 3 AS call FROM x"""
 
 
-def _tenmers(score: str, test: str, digits: int) -> str:
-    return f"""WITH {DNA}, p AS (SELECT seq_id, bases, unnest(range(1, length(bases) - 8)) AS pos FROM dna),
-  k AS (SELECT seq_id, pos, substr(bases, pos, 10) AS w FROM p), s AS (SELECT seq_id, pos, {score} AS v FROM k WHERE {test}),
+# short pieces first: substr walks from the start of its string
+def _pieces(extra: int, step: int = 1000) -> str:
+    return f"""l0 AS (SELECT seq_id, bases, unnest(range(0, length(bases), {step})) AS lo FROM dna), pc AS (SELECT seq_id, lo, substr(bases, lo + 1, {step} + {extra}) AS piece FROM l0)"""
+
+
+_WORDS = "p AS (SELECT seq_id, lo, piece, unnest(range(1, least(1000, length(piece) - {k} + 1) + 1)) AS off FROM pc), k AS (SELECT seq_id, lo + off AS pos, substr(piece, off, {k}) AS w FROM p)"
+
+
+def _tenmers(score: str, quick: str, test: str, digits: int) -> str:
+    return f"""WITH {DNA}, {_pieces(9)}, {_WORDS.format(k=10)}, q AS MATERIALIZED (SELECT * FROM k WHERE regexp_matches(w, '{quick}')), s AS (SELECT seq_id, pos, {score} AS v FROM q WHERE {test}),
   f AS (SELECT *, CASE WHEN pos <= lag(pos) OVER (PARTITION BY seq_id ORDER BY pos) + 10 THEN 0 ELSE 1 END AS head FROM s {'WHERE v >= 50' if 'IN' not in test else ''}),
   g AS (SELECT *, sum(head) OVER (PARTITION BY seq_id ORDER BY pos) AS island FROM f)
   SELECT seq_id, min(pos) AS "start", max(pos) + 9 AS "end", count(*) AS n_hits, round(sum(v), {digits}) AS score FROM g GROUP BY seq_id, island"""
@@ -155,38 +162,41 @@ def _step(x, table):
     return f"CASE {x} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in table.items()) + " ELSE 0 END"
 
 
-ORACLES["z_dna_regions"] = _tenmers(" + ".join(f"({_step(f'substr(w, {t}, 2)', T.Z_STEP)})" for t in range(1, 10)), "regexp_matches(w, 'CGC|GCG')", 4)
+ORACLES["z_dna_regions"] = _tenmers(" + ".join(f"({_step(f'substr(w, {t}, 2)', T.Z_STEP)})" for t in range(1, 10)), "CGC|GCG", "TRUE", 4)
 _LISTED = ", ".join(f"'{k}'" for k in T.A_PHILIC_STEP)
 ORACLES["a_philic_regions"] = _tenmers(
     "(" + " + ".join(f"({_step(f'substr(w, {t}, 4)', T.A_PHILIC_STEP)})" for t in range(1, 8)) + ") / 7",
+    "GGG|CCC",
     " AND ".join(f"substr(w, {t}, 4) IN ({_LISTED})" for t in range(1, 8)),
     4,
 )
 
-ORACLES["tandem_repeats"] = f"""WITH RECURSIVE {DNA}, u AS (SELECT seq_id, bases, unnest(range(1, 10)) AS k FROM dna),
-  p AS (SELECT seq_id, k, unnest(range(1, length(bases) - k + 1)) AS pos, bases FROM u),
-  q AS (SELECT seq_id, k, pos FROM p WHERE substr(bases, pos, 1) = substr(bases, pos + k, 1)),
+ORACLES["tandem_repeats"] = f"""WITH RECURSIVE {DNA}, {_pieces(9, 200)}, a AS (SELECT seq_id, lo, piece, unnest(range(1, least(200, length(piece)) + 1)) AS off FROM pc),
+  b AS (SELECT seq_id, lo + off AS pos, substr(piece, off, 10) AS w FROM a), u AS (SELECT seq_id, pos, w, unnest(range(1, 10)) AS k FROM b),
+  q AS (SELECT seq_id, k, pos FROM u WHERE substr(w, 1, 1) = substr(w, k + 1, 1)),
   g AS (SELECT *, pos - row_number() OVER (PARTITION BY seq_id, k ORDER BY pos) AS island FROM q),
   r AS (SELECT seq_id, k, min(pos) AS s, count(*) AS r FROM g GROUP BY seq_id, k, island HAVING count(*) >= greatest(k, CAST(ceil(10.0 / k) AS INTEGER) * k - k)),
-  o AS (SELECT *, row_number() OVER (PARTITION BY seq_id, k ORDER BY s) AS rn FROM r),
-  w AS (SELECT seq_id, k, rn, s AS a, CAST(floor((r + k) / k) AS BIGINT) AS copies, s + CAST(floor((r + k) / k) AS BIGINT) * k AS busy, TRUE AS hit FROM o WHERE rn = 1
+  h AS (SELECT *, CASE WHEN s < lag(s + r + k) OVER (PARTITION BY seq_id, k ORDER BY s) THEN 0 ELSE 1 END AS head FROM r),
+  c AS (SELECT seq_id, k, s, r, sum(head) OVER (PARTITION BY seq_id, k ORDER BY s) AS chain FROM h),
+  o AS (SELECT *, row_number() OVER (PARTITION BY seq_id, k, chain ORDER BY s) AS rn FROM c),
+  w AS (SELECT seq_id, k, chain, rn, s AS a, CAST(floor((r + k) / k) AS BIGINT) AS copies, s + CAST(floor((r + k) / k) AS BIGINT) * k AS busy, TRUE AS hit FROM o WHERE rn = 1
     UNION ALL
-    SELECT o.seq_id, o.k, o.rn, greatest(o.s, w.busy),
+    SELECT o.seq_id, o.k, o.chain, o.rn, greatest(o.s, w.busy),
       CAST(floor((o.s + o.r - greatest(o.s, w.busy) + o.k) / o.k) AS BIGINT),
       CASE WHEN o.s + o.r - greatest(o.s, w.busy) >= o.k AND floor((o.s + o.r - greatest(o.s, w.busy) + o.k) / o.k) * o.k >= 10
         THEN greatest(o.s, w.busy) + CAST(floor((o.s + o.r - greatest(o.s, w.busy) + o.k) / o.k) AS BIGINT) * o.k ELSE w.busy END,
       o.s + o.r - greatest(o.s, w.busy) >= o.k AND floor((o.s + o.r - greatest(o.s, w.busy) + o.k) / o.k) * o.k >= 10
-    FROM w JOIN o ON o.seq_id = w.seq_id AND o.k = w.k AND o.rn = w.rn + 1)
+    FROM w JOIN o ON o.seq_id = w.seq_id AND o.k = w.k AND o.chain = w.chain AND o.rn = w.rn + 1)
   SELECT seq_id, CAST(a AS BIGINT) AS "start", CAST(a + copies * k - 1 AS BIGINT) AS "end", CAST(k AS INTEGER) AS unit, CAST(copies AS INTEGER) AS copies FROM w WHERE hit"""
 
-_WORDS = f"p AS (SELECT seq_id, bases, unnest(range(1, length(bases) - {{k}} + 2)) AS pos FROM dna), k AS (SELECT seq_id, pos, substr(bases, pos, {{k}}) AS w FROM p)"
-ORACLES["direct_repeats"] = f"""WITH {DNA}, {_WORDS.format(k=10)},
+ORACLES["direct_repeats"] = f"""WITH {DNA}, {_pieces(620)}, {_WORDS.format(k=10)},
   t AS (SELECT *, pos // 310 AS tile FROM k), u AS (SELECT seq_id, w, pos, unnest([pos // 310, pos // 310 - 1]) AS tile FROM k),
   j AS (SELECT a.seq_id, a.pos AS i, b.pos - a.pos AS d FROM t a JOIN u b ON a.seq_id = b.seq_id AND a.w = b.w AND a.tile = b.tile WHERE b.pos - a.pos BETWEEN 10 AND 310),
-  l AS (SELECT j.seq_id, i, d, list_max(list_filter(range(greatest(10, d - 10), least(300, d) + 1), lambda n: i + d + n - 1 <= length(bases) AND substr(bases, i, n) = substr(bases, i + d, n))) AS n FROM j JOIN dna USING (seq_id))
+  x AS (SELECT j.* FROM j JOIN k a ON a.seq_id = j.seq_id AND a.pos = i + greatest(0, d - 20) JOIN k b ON b.seq_id = j.seq_id AND b.pos = i + d + greatest(0, d - 20) WHERE a.w = b.w),
+  l AS (SELECT x.seq_id, i, d, list_max(list_filter(range(greatest(10, d - 10), least(300, d) + 1), lambda n: i - lo + d + n - 1 <= length(piece) AND substr(piece, i - lo, n) = substr(piece, i - lo + d, n))) AS n FROM x JOIN pc ON pc.seq_id = x.seq_id AND pc.lo = (i - 1) // 1000 * 1000)
   SELECT seq_id, i AS "start", CAST(max(n) AS INTEGER) AS unit, CAST(d - n AS INTEGER) AS spacer FROM l WHERE n IS NOT NULL GROUP BY seq_id, i, d - n"""
 
-ORACLES["inverted_seed_pairs"] = f"""WITH {DNA}, {_WORDS.format(k=6)},
+ORACLES["inverted_seed_pairs"] = f"""WITH {DNA}, {_pieces(5)}, {_WORDS.format(k=6)},
   t AS (SELECT *, pos // 106 AS tile FROM k), u AS (SELECT seq_id, reverse(translate(w, 'ACGT', 'TGCA')) AS w, pos, unnest([pos // 106, pos // 106 - 1]) AS tile FROM k)
   SELECT a.seq_id, b.pos - a.pos AS delta, count(*) AS n FROM t a JOIN u b ON a.seq_id = b.seq_id AND a.w = b.w AND a.tile = b.tile WHERE b.pos - a.pos BETWEEN 6 AND 106 GROUP BY 1, 2"""
 
@@ -235,8 +245,8 @@ ORACLES["select_non_overlapping"] = MOTIFS.replace("WITH ", "WITH RECURSIVE ", 1
   {_greedy('c', 'score DESC, length DESC, ord, "start"')}
   SELECT o.seq_id, o.class, o.subclass, o."start", o."end" FROM g JOIN o USING (seq_id, rn) WHERE kept"""
 
-ORACLES["merge_intervals"] = f"""{MOTIFS}, f AS (SELECT *, CASE WHEN "start" - 1 > max("end") OVER (PARTITION BY seq_id ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS head FROM m),
-  g AS (SELECT *, sum(head) OVER (PARTITION BY seq_id ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS island FROM f)
+ORACLES["merge_intervals"] = f"""{MOTIFS}, f AS (SELECT *, CASE WHEN "start" - 1 > max("end") OVER (PARTITION BY seq_id ORDER BY "start", "end", ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS head FROM m),
+  g AS (SELECT *, sum(head) OVER (PARTITION BY seq_id ORDER BY "start", "end", ord ROWS UNBOUNDED PRECEDING) AS island FROM f)
   SELECT seq_id, min("start") - 1 AS "start", max("end") AS "end", count(*) AS n FROM g GROUP BY seq_id, island"""
 
 
@@ -254,7 +264,7 @@ ORACLES["hybrid_pairs_legacy"] = _pairs("ratio >= 0.3 AND ratio <= 0.7")
 
 ORACLES["cluster_windows"] = f"""{MOTIFS}, n AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY "start", ord) AS rn FROM m),
   c AS (SELECT a.seq_id, a.rn, min(b."start") AS "start", max(b."end") AS "end", count(*) AS n, count(DISTINCT b.class) AS d, avg(b.score) AS s FROM n a JOIN n b ON a.seq_id = b.seq_id AND b.rn >= a.rn AND b."start" <= a."start" + 500 GROUP BY a.seq_id, a.rn)
-  SELECT seq_id, 'High-density cluster (' || n || ' motifs)' AS subclass, "start", "end", n AS motif_count, d AS class_diversity, round(round(s, 3), 2) AS score FROM c WHERE n >= 3"""
+  SELECT seq_id, 'High-density cluster (' || n || ' motifs)' AS subclass, "start", "end", n AS motif_count, d AS class_diversity, round(s, 3) AS score FROM c WHERE n >= 3"""
 
 ORACLES["coverage"] = f"""{MOTIFS}, {cover('seq_id, class', 'c')} SELECT * FROM c"""
 _DENS = f"""{cover('seq_id, class', 'cc')}, {cover('seq_id', 'co')}, dens AS (SELECT seq_id, class, round(least(covered * 100.0 / seq_len, 100.0), 4) AS density_percent
@@ -338,10 +348,10 @@ def _dens(src, name):
   FROM (SELECT seq_id, class, "start", "end" FROM {src} UNION ALL SELECT seq_id, 'Overall', "start", "end" FROM {src})) GROUP BY seq_id, class)"""
 
 
-ORACLES["enrichment"] = f"""WITH {DNA}, {_shuffled(2)}, sq AS (SELECT origin_id * 10 + iteration AS seq_id, 'x' AS seq_name, bases FROM sh), {hits(_EP, 'ob')}, {hits(_EP, 'bk', 'sq')}, {_dens('ob', 'o')}, {_dens('bk', 'b')},
+ORACLES["enrichment"] = f"""WITH {DNA}, {_shuffled(3)}, sq AS (SELECT origin_id * 10 + iteration AS seq_id, 'x' AS seq_name, bases FROM sh), {hits(_EP, 'ob')}, {hits(_EP, 'bk', 'sq')}, {_dens('ob', 'o')}, {_dens('bk', 'b')},
   obs AS (SELECT seq_id, class, round(least(covered * 100.0 / seq_len, 100), 4) AS density FROM o_d JOIN lens USING (seq_id)),
-  bg AS (SELECT seq_id // 10 AS origin, seq_id % 10 AS iteration, class, round(least(covered * 100.0 / seq_len, 100), 4) AS density FROM b_d JOIN lens ON lens.seq_id = b_d.seq_id // 10),
-  f AS (SELECT obs.seq_id, obs.class, obs.density AS od, coalesce(bg.density, 0) AS bd FROM (SELECT *, unnest([0, 1]) AS iteration FROM obs) obs LEFT JOIN bg ON bg.origin = obs.seq_id AND bg.class = obs.class AND bg.iteration = obs.iteration),
+  bg AS (SELECT b_d.seq_id // 10 AS origin, b_d.seq_id % 10 AS iteration, class, round(least(covered * 100.0 / seq_len, 100), 4) AS density FROM b_d JOIN lens ON lens.seq_id = b_d.seq_id // 10),
+  f AS (SELECT obs.seq_id, obs.class, obs.density AS od, coalesce(bg.density, 0) AS bd FROM (SELECT *, unnest([0, 1, 2]) AS iteration FROM obs) obs LEFT JOIN bg ON bg.origin = obs.seq_id AND bg.class = obs.class AND bg.iteration = obs.iteration),
   a AS (SELECT seq_id, class, od, avg(bd) AS mean, stddev_pop(bd) AS std, avg(CASE WHEN bd >= od THEN 1.0 ELSE 0.0 END) AS p FROM f GROUP BY 1, 2, 3),
   n AS (SELECT seq_id, class, count(*) AS k FROM ob GROUP BY 1, 2 UNION ALL SELECT seq_id, 'Overall', count(*) FROM ob GROUP BY 1)
   SELECT a.seq_id, a.class, od AS observed_density, round(mean, 4) AS background_mean, round(std, 4) AS background_std, CASE WHEN mean > 0 THEN round(od / mean, 2) WHEN od > 0 THEN 100.0 ELSE 1.0 END AS fold_for_chart,

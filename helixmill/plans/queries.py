@@ -160,7 +160,7 @@ def _legacy_hybrids(spark, sf):
 
 def _clusters(spark, sf):
     rows = composite.clusters(_ranked(probe_motifs(spark, sf)), "modular")
-    return rows.select("seq_id", "subclass", "start", "end", "motif_count", "class_diversity", F.round("score", 2).alias("score"))
+    return rows.select("seq_id", "subclass", "start", "end", "motif_count", "class_diversity", "score")
 
 
 def _selected(spark, sf):
@@ -248,7 +248,7 @@ def _probe_density(seqs):
 
 
 def _enrichment(spark, sf):
-    rows = E.enrichment(dna(spark, sf), _probe_density, n_shuffles=2)
+    rows = E.enrichment(dna(spark, sf), _probe_density, n_shuffles=3)
     return charts.enrichment_panel(rows).select(
         "seq_id", "class", "observed_density", "background_mean", "background_std", F.col("fold_for_chart"), "p_value", "observed_count", "significance"
     )

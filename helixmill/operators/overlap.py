@@ -6,7 +6,8 @@ beats everything it overlaps is selected whatever happens elsewhere. Hence two e
 1. ``settle_in_chunks`` (narrow, no shuffle) decides every candidate that cannot meet a
    candidate of another chunk. It drops the losers where they were found and marks winners as
    settled; only candidates near chunk borders stay open.
-2. ``resolve_open`` groups what is still open by island (connected component) and decides it.
+2. ``resolve_open`` sorts what is still open by island (connected component) and rank, and
+   decides it in one streaming pass.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -118,21 +118,31 @@ def settle_in_chunks(df: DataFrame) -> DataFrame:
 
 
 def resolve_open(df: DataFrame, binned: bool = False) -> DataFrame:
-    """Greedy selection inside each island of (seq_id, grp); columns k1..k4 give the order."""
-    names = df.columns
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["k1", "k2", "k3", "k4"], kind="stable")
-        taken, keep = Cover(), []
-        for lo, hi in zip((pdf["start"] + pdf["slack"]).tolist(), pdf["end"].tolist()):
-            free = lo >= hi or not taken.meets(lo, hi)
-            keep.append(free)
-            if free and lo < hi:
-                taken.add(lo, hi)
-        return pdf.loc[keep, names]
+    """Greedy selection inside each island of (seq_id, grp); columns k1..k4 give the order.
 
+    Rows stream in rank order per island and only the union of what was taken is kept, so an
+    island of any size needs no more memory than its winners.
+    """
+    names = df.columns
     marked = with_island(df.withColumn("_lo", F.col("start") + F.col("slack")), ["seq_id", "grp"], "_lo", "end", binned=binned)
-    return marked.groupBy("seq_id", "grp", "_island").applyInPandas(pick, df.schema)
+    if binned:
+        marked = marked.repartition("seq_id", "grp", "_island")
+    ordered = marked.sortWithinPartitions("seq_id", "grp", "_island", "k1", "k2", "k3", "k4")
+
+    def run(batches):
+        island, taken = None, None
+        for batch in batches:
+            keep = []
+            for seq, grp, head, lo, hi in zip(*(batch.column(c).to_pylist() for c in ("seq_id", "grp", "_island", "_lo", "end"))):
+                if (seq, grp, head) != island:
+                    island, taken = (seq, grp, head), Cover()
+                free = lo >= hi or not taken.meets(lo, hi)
+                keep.append(free)
+                if free and lo < hi:
+                    taken.add(lo, hi)
+            yield batch.filter(pa.array(keep, pa.bool_())).select(names)
+
+    return ordered.mapInArrow(run, df.schema)
 
 
 def select_non_overlapping(

@@ -159,7 +159,8 @@ def _legacy_hybrids(spark, sf):
 
 
 def _clusters(spark, sf):
-    rows = composite.clusters(_ranked(probe_motifs(spark, sf)), "modular")
+    weighted = _ranked(probe_motifs(spark, sf)).withColumn("score", F.col("length").cast("double"))
+    rows = composite.clusters(weighted, "modular")
     return rows.select("seq_id", "subclass", "start", "end", "motif_count", "class_diversity", "score")
 
 

@@ -38,7 +38,7 @@ def dna(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lengths(spark, sf) -> DataFrame:
-    return dna_from_documents(spark, sf).select("seq_id", F.length("bases").alias("seq_len"))
+    return dna(spark, sf).select("seq_id", F.length("bases").alias("seq_len"))
 
 
 def probe_motifs(spark: SparkSession, sf: str) -> DataFrame:
@@ -52,11 +52,11 @@ def probe_motifs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _seq_stats(spark, sf):
-    return stats.base_stats(dna_from_documents(spark, sf))
+    return stats.base_stats(dna(spark, sf))
 
 
 def _sequence_flags(spark, sf):
-    return dna_from_documents(spark, sf).select(
+    return dna(spark, sf).select(
         "seq_id",
         Q.validation_message("bases").alias("message"),
         Q.is_valid("bases").alias("ok"),
@@ -70,11 +70,11 @@ def _sequence_flags(spark, sf):
 
 
 def _fasta_lines(spark, sf):
-    return sinks.fasta_lines(dna_from_documents(spark, sf)).select(F.md5("value").alias("record_md5"))
+    return sinks.fasta_lines(dna(spark, sf)).select(F.md5("value").alias("record_md5"))
 
 
 def _fasta_records(spark, sf):
-    records = sinks.fasta_lines(dna_from_documents(spark, sf)).withColumn("source", F.lit("memory"))
+    records = sinks.fasta_lines(dna(spark, sf)).withColumn("source", F.lit("memory"))
     return parse_records(records).select("seq_name", F.length("bases").alias("n"), F.md5("bases").alias("bases_md5"))
 
 
@@ -188,7 +188,7 @@ def _stat_len(fn, *args):
 
 
 def _summary_table(spark, sf):
-    return stats.summary_table(dna_from_documents(spark, sf), probe_motifs(spark, sf))
+    return stats.summary_table(dna(spark, sf), probe_motifs(spark, sf))
 
 
 def _value_distribution(value):
@@ -201,7 +201,7 @@ def _value_distribution(value):
 
 def _source_summary(spark, sf):
     """The genome comparison with document sources as genomes."""
-    names = dna_from_documents(spark, sf).select("seq_id", F.col("source").alias("genome"), F.length("bases").alias("seq_len"))
+    names = dna(spark, sf).select("seq_id", F.col("source").alias("genome"), F.length("bases").alias("seq_len"))
     m = probe_motifs(spark, sf).drop("seq_len").join(names.select("seq_id", "genome"), "seq_id")
     s = stats.genome_summary(m, names, sorted({p[0] for p in PROBES}))
     return s.withColumn("motifs_per_kb", F.round("motifs_per_kb", 6)).toDF(*[c.replace("-", "_") for c in s.columns])

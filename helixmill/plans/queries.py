@@ -381,5 +381,4 @@ QUERIES = {
     "analyze_standard": _pipeline("standard"),
     "analyze_modular": _pipeline("modular"),
     "analyze_legacy": _pipeline("legacy"),
-    "analyze_seeded": _pipeline("seeded"),
 }

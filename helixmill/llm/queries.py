@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from helixmill.llm import decontaminate, language, packing, pii, sharding, token_counts, toxicity
+from helixmill.llm import decontaminate, language, near_dedup, packing, pii, sharding, token_counts, topk, toxicity, warc
 
 QUERIES = {
     f.__name__: f
     for f in (
+        near_dedup.op1_near_dedup,
         decontaminate.op2_decontamination,
         language.op3_language,
         token_counts.op4_token_counts,
         packing.op5_packing,
         sharding.op6_sharding,
+        warc.op7_warc,
         pii.op8_pii,
         toxicity.op9_toxicity,
+        topk.op10_topk,
     )
 }
-ORACLES = {"op2_decontamination": decontaminate.ORACLE}
+ORACLES = {"op2_decontamination": decontaminate.ORACLE, "op10_topk": topk.ORACLE}

@@ -24,7 +24,7 @@ CHUNK_LEN = 100_000
 CONTEXT = T.CHUNK_CONTEXT
 
 CHUNK_SCHEMA = (
-    "seq_id bigint, seq_name string, seq_len bigint, chunk_start bigint, chunk_end bigint, text string"
+    "seq_id bigint, seq_name string, seq_len bigint, chunk_start bigint, chunk_end bigint, reach bigint, text string"
 )
 
 # a cut needs a purine next to a pyrimidine, one of them G or C
@@ -111,7 +111,11 @@ def _long_palindromes(text: str, probe: int = 24, step: int = 1024) -> list[tupl
 
 
 def cut_sequence(bases: str, chunk_len: int, context: int):
-    """(core start, core end, text) of each chunk of one sequence."""
+    """(core start, core end, reach, text) of each chunk of one sequence.
+
+    ``reach`` is how far a pair found in an earlier chunk may extend into this one: the default
+    context, or the end of the furthest long palindrome that begins before the chunk.
+    """
     points = cut_points(bases, chunk_len)
     far = _long_palindromes(bases) if len(points) > 2 else ()
     for start, end in zip(points, points[1:]):
@@ -119,7 +123,8 @@ def cut_sequence(bases: str, chunk_len: int, context: int):
         for leftmost, inner, total in far:
             if leftmost < end and inner > start:
                 stop = max(stop, total - max(leftmost, start) + 1)
-        yield start, end, bases[start:stop]
+        reach = max([context, *(total - leftmost + 1 - start for leftmost, _, total in far if leftmost < start)])
+        yield start, end, reach, bases[start:stop]
 
 
 def chunk_sequences(sequences: DataFrame, chunk_len: int = CHUNK_LEN, context: int = CONTEXT) -> DataFrame:

@@ -139,28 +139,20 @@ def tandem_repeats(raw: np.ndarray, unit: int, min_total: int = T.STR_MIN_TOTAL)
     return out
 
 
-def instability(text: str, max_unit: int = 9, offsets: int | None = 20, reach: int | None = 100) -> float:
-    """Largest copies * sqrt(unit) over short units near the start of a repeat, scaled to 0..1."""
-    n = len(text)
-    if n < 10:
+def tandem_score(unit: str, copies: int) -> float:
+    """Instability of a perfect tandem block, scaled to 0..1.
+
+    The score is the largest copies * sqrt(period) over repeats of at least three copies and ten
+    bases inside the block. By periodicity only multiples of the smallest period repeat so often,
+    and the smallest period wins; a block whose unit holds N has no such repeat.
+    """
+    n = len(unit)
+    period = next(p for p in range(1, n + 1) if n % p == 0 and unit == unit[:p] * (n // p))
+    copies *= n // period
+    if copies < 3 or copies * period < 10 or "N" in unit:
         return 0.0
-    span = n if reach is None else min(n, reach)
-    best = 0.0
-    for unit in range(1, min(max_unit, span // 3) + 1):
-        last = span - 3 * unit + 1
-        for i in range(last if offsets is None else min(last, offsets)):
-            word = text[i : i + unit]
-            if "N" in word:
-                continue
-            limit = min(n, i + unit * 50)
-            copies, at = 1, i + unit
-            while at + unit <= limit and text.startswith(word, at):
-                copies, at = copies + 1, at + unit
-            if copies >= 3 and copies * unit >= 10:
-                best = max(best, copies * unit**0.5)
-                if best > 8:
-                    return 1.0
-    return min(best / 10, 1.0)
+    best = copies * period**0.5
+    return 1.0 if best > 8 else best / 10
 
 
 def _run_to_mismatch(equal: np.ndarray, at: np.ndarray) -> np.ndarray:

@@ -103,7 +103,6 @@ def _with_order(df: DataFrame) -> DataFrame:
     """grp, slack, reach and the ascending sort keys k1..k4 of each detector's selection."""
     score, rounded = F.col("raw_score"), F.round("raw_score", 3)
     span = (F.col("end") - F.col("start")).cast("double")
-    arrival = F.col("chunk_start") * 4.0 + F.col("emit") / 1e9
     g4_rank = _lookup([(f, float(n)) for n, f in enumerate(T.G4_PRIORITY)])
     imotif_rank = _lookup([("canonical_imotif", 1.0), ("hur_ac_motif", 2.0), ("ac_motif_hur", 999.0)])
     zone = F.coalesce(F.col("rez_pct") * (F.col("rez_end") - F.col("rez_start")) / 100.0, F.lit(0.0))
@@ -122,7 +121,9 @@ def _with_order(df: DataFrame) -> DataFrame:
             }
         ).alias("grp"),
         F.when(F.col("det").isin(T.CURVED, T.SLIPPED), 1).otherwise(0).alias("slack"),
-        _per_detector({d: F.lit(r) for d, r in T.REACH.items()}, F.lit(0)).alias("reach"),
+        _per_detector(
+            {d: F.greatest(F.lit(r), "far") if d in (T.CRUCIFORM, T.TRIPLEX) else F.lit(r) for d, r in T.REACH.items()}, F.lit(0)
+        ).cast("long").alias("reach"),
         by_detector(
             {
                 T.CURVED: -rounded,
@@ -154,7 +155,8 @@ def _with_order(df: DataFrame) -> DataFrame:
                 T.I_MOTIF: -span,
             }
         ).alias("k3"),
-        arrival.alias("k4"),
+        F.col("chunk_start").cast("double").alias("k4"),
+        F.col("emit").cast("double").alias("k5"),
     )
 
 

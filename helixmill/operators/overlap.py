@@ -22,6 +22,8 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 
 from helixmill.operators.islands import with_island
 
+ORDER_KEYS = ("k1", "k2", "k3", "k4", "k5")
+
 
 class Cover:
     """A union of half-open intervals on a line."""
@@ -67,7 +69,7 @@ def settle_in_chunks(df: DataFrame) -> DataFrame:
     """Decide candidates inside their chunk; adds ``settled``.
 
     Needs the rows exactly as a chunk scan left them (all rows of a chunk adjacent in one
-    partition), with columns raw_score, floor, grp, slack, reach, k1..k4. Rows at or below their
+    partition), with columns raw_score, floor, grp, slack, reach, k1..k5. Rows at or below their
     floor are dropped first; filtering here keeps the score from being evaluated twice. ``grp`` null means "nothing to resolve".
     ``reach`` is how far candidates of a neighbouring chunk may extend across the border.
     """
@@ -80,7 +82,7 @@ def settle_in_chunks(df: DataFrame) -> DataFrame:
             return
         group = table.column("grp").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
         seq, chunk = column(table, "seq_id"), column(table, "chunk_start")
-        keys = [column(table, k) for k in ("k4", "k3", "k2", "k1")]
+        keys = [column(table, k) for k in ORDER_KEYS[::-1]]
         ranked = np.lexsort((*keys, group, chunk, seq))
         lo = (column(table, "start") + column(table, "slack"))[ranked].tolist()
         hi = column(table, "end")[ranked].tolist()
@@ -118,7 +120,7 @@ def settle_in_chunks(df: DataFrame) -> DataFrame:
 
 
 def resolve_open(df: DataFrame, binned: bool = False) -> DataFrame:
-    """Greedy selection inside each island of (seq_id, grp); columns k1..k4 give the order.
+    """Greedy selection inside each island of (seq_id, grp); columns k1..k5 give the order.
 
     Rows stream in rank order per island and only the union of what was taken is kept, so an
     island of any size needs no more memory than its winners.
@@ -127,7 +129,7 @@ def resolve_open(df: DataFrame, binned: bool = False) -> DataFrame:
     marked = with_island(df.withColumn("_lo", F.col("start") + F.col("slack")), ["seq_id", "grp"], "_lo", "end", binned=binned)
     if binned:
         marked = marked.repartition("seq_id", "grp", "_island")
-    ordered = marked.sortWithinPartitions("seq_id", "grp", "_island", "k1", "k2", "k3", "k4")
+    ordered = marked.sortWithinPartitions("seq_id", "grp", "_island", *ORDER_KEYS)
 
     def run(batches):
         island, taken = None, None
@@ -150,12 +152,14 @@ def select_non_overlapping(
 ) -> DataFrame:
     """Greedy selection over any motif table.
 
-    ``order`` lists up to four expressions, best first when ascending. ``slack=1`` lets two
+    ``order`` lists up to five expressions, best first when ascending. ``slack=1`` lets two
     1-based inclusive intervals share one base, ``slack=0`` is the half-open test on the given
     coordinates. ``binned`` cuts even one sequence into many tasks but reads ``motifs`` more than
     once, so it wants a table; without it, a group's rows pass one streaming window.
     """
-    keys = [o.cast("double") for o in order] + [F.lit(0.0)] * (4 - len(order))
+    if len(order) > len(ORDER_KEYS):
+        raise ValueError(f"at most {len(ORDER_KEYS)} order expressions")
+    keys = [*order, *[F.lit(0.0)] * (len(ORDER_KEYS) - len(order))]
     work = motifs.select(
         F.struct(*motifs.columns).alias("row"),
         F.col("seq_id"),
@@ -163,6 +167,6 @@ def select_non_overlapping(
         (F.col(start) - 1).alias("start"),
         F.col(end).alias("end"),
         F.lit(slack).alias("slack"),
-        *[k.alias(f"k{n}") for n, k in enumerate(keys, 1)],
+        *[k.alias(name) for k, name in zip(keys, ORDER_KEYS)],
     )
     return resolve_open(work, binned).select("row.*")

@@ -8,6 +8,7 @@ detectors is what makes the whole pipeline a single scan of the input.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ CANDIDATE_SCHEMA = (
     "seq_id bigint, seq_name string, seq_len bigint, chunk_start bigint, chunk_end bigint, "
     "det int, family string, emit bigint, seen bigint, start bigint, end bigint, seq string, "
     "unit int, copies int, arm int, loop int, n_hits int, raw double, centers array<double>, "
-    "rez_start bigint, rez_end bigint, rez_pct double"
+    "rez_start bigint, rez_end bigint, rez_pct double, far bigint"
 )
 _FIELDS = [f.split()[0] for f in CANDIDATE_SCHEMA.split(", ")]
 _OWN = _FIELDS[6:]
@@ -41,8 +42,9 @@ _HUR = [(linker, re.compile(regex)) for _, linker, regex in catalogs.hur_pattern
 class Chunk:
     """The text of one chunk row and the arrays derived from it."""
 
-    def __init__(self, text, n_core, lo=0, seq_len=None):
-        self.text, self.n_core = text, n_core
+    def __init__(self, text, n_core, lo=0, seq_len=None, reach=0, first=None):
+        self.text, self.n_core, self.reach = text, n_core, reach
+        self.first = first or (lambda word: lo + text.find(word))  # first place of a word in the sequence
         self.lo, self.seq_len = lo, n_core if seq_len is None else seq_len
         self.core = text[:n_core]
         self.raw = K.to_bytes(text)
@@ -94,7 +96,7 @@ def _slipped(c: Chunk):
         found.append((left, _candidate("DIRECT", left, left + 2 * unit + spacer, unit=unit, loop=spacer)))
     for _, row in sorted(found, key=lambda x: x[0]):
         if row["family"] == "STR":
-            row["raw"] = K.instability(c.slice(row["start"], row["end"]))
+            row["raw"] = K.tandem_score(c.slice(row["start"], row["start"] + row["unit"]), row["copies"])
         yield row
 
 
@@ -105,7 +107,7 @@ def _cruciform(c: Chunk):
     score = np.round(arm / (arm + 8.0) * (1.0 - loop / T.INVERTED_MAX_LOOP), 6)
     strong = score > T.CRUCIFORM_GATE
     left, end, arm, loop, score = (x[strong] for x in (left, end, arm, loop, score))
-    keep = c.contenders(left, end, (-score, left - end, left), T.REACH[T.CRUCIFORM])
+    keep = c.contenders(left, end, (-score, left - end, left), max(c.reach, T.REACH[T.CRUCIFORM]))
     for start, end, arm, loop in zip(*(x[keep].tolist() for x in (left, end, arm, loop))):
         yield _candidate("INVERTED", start, end, arm=arm, loop=loop)
 
@@ -139,7 +141,7 @@ def _triplex(c: Chunk):
         ]
         pure = np.flatnonzero((shares[0] >= T.MIRROR_PURITY) | (shares[1] >= T.MIRROR_PURITY))
         # hits arrive in the order in which their seed words are first met
-        seen = {i: c.text.find(c.text[i : i + k]) for i in np.unique(left[pure]).tolist()}
+        seen = {i: c.first(c.text[i : i + k]) for i in np.unique(left[pure]).tolist()}
         ranked = sorted(pure.tolist(), key=lambda r: (seen[int(left[r])], int(left[r]), int(first_right[r])))
         for r in ranked:
             i, j, a = int(left[r]), int(right[r]), int(arm[r])
@@ -147,7 +149,7 @@ def _triplex(c: Chunk):
             yield _candidate(family, i, j + a, arm=a, loop=j - i - a, seen=seen[i], raw=0.0)
     for name, pattern in _STICKY:
         for start, end in K.spans(pattern, c.core):
-            yield _candidate(name, start, end, seen=start, raw=1.0)
+            yield _candidate(name, start, end, seen=c.lo + start, raw=1.0)
 
 
 def _g_quadruplex(c: Chunk):
@@ -212,11 +214,13 @@ SCANNERS = {
 def _pieces(batch, chunk_len):
     rows = zip(*(c.to_pylist() for c in batch.columns))
     if batch.num_columns > 3:
-        yield from rows
+        for seq_id, name, seq_len, lo, hi, reach, text in rows:
+            yield seq_id, name, seq_len, lo, hi, reach, text, None
         return
     for seq_id, name, bases in rows:
-        for lo, hi, text in cut_sequence(bases, chunk_len, CONTEXT):
-            yield seq_id, name, len(bases), lo, hi, text
+        first = lru_cache(None)(bases.find)
+        for lo, hi, reach, text in cut_sequence(bases, chunk_len, CONTEXT):
+            yield seq_id, name, len(bases), lo, hi, reach, text, first
 
 
 def scan_candidates(source: DataFrame, detectors=tuple(SCANNERS), chunk_len: int | None = None) -> DataFrame:
@@ -231,18 +235,18 @@ def scan_candidates(source: DataFrame, detectors=tuple(SCANNERS), chunk_len: int
     def run(batches):
         for batch in batches:
             columns = {name: [] for name in _FIELDS}
-            for seq_id, name, seq_len, lo, hi, text in _pieces(batch, chunk_len):
-                chunk = Chunk(text, hi - lo, lo, seq_len)
+            for seq_id, name, seq_len, lo, hi, reach, text, first in _pieces(batch, chunk_len):
+                chunk = Chunk(text, hi - lo, lo, seq_len, reach, first)
                 for det in detectors:
                     for emit, row in enumerate(SCANNERS[det](chunk)):
                         if "seq" not in row:
                             row["seq"] = chunk.slice(row["start"], row["end"])
-                        for key in ("start", "end", "seen", "rez_start", "rez_end"):
+                        for key in ("start", "end", "rez_start", "rez_end"):
                             if key in row:
                                 row[key] += lo
                         if "centers" in row:
                             row["centers"] = (row["centers"] + lo).tolist()
-                        row["emit"] = emit
+                        row["emit"], row["far"] = emit, reach
                         for value, key in zip((seq_id, name, seq_len, lo, hi, det), _FIELDS):
                             columns[key].append(value)
                         for key in _OWN:

@@ -70,20 +70,50 @@ def density_table(motifs: DataFrame, lengths: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.join(b, ["seq_id", "class"]), parts)
 
 
+MILLION = 1_000_000
+
+
+def exact_mean(total: Column, n: Column, unit: int, digits: int) -> Column:
+    """total / n / unit rounded half up, from integers only, so that it does not depend on the order of summing."""
+    scale = 10**digits
+    part = (F.lit(2 * scale) * total + n * unit).cast("decimal(38,0)") / (n * (2 * unit)).cast("decimal(20,0)")
+    return F.floor(part).cast("double") / scale
+
+
+def exact_deviation(total: Column, squares: Column, n: Column, unit: int) -> Column:
+    """Population deviation from exact integer sums."""
+    return F.sqrt((n.cast("decimal(12,0)") * squares - total * total).cast("double")) / n / unit
+
+
 def motif_statistics(motifs: DataFrame, lengths: DataFrame) -> DataFrame:
-    """One row per sequence; sequences without motifs appear with zeros."""
+    """One row per sequence; sequences without motifs appear with zeros.
+
+    Means and deviations come from exact sums (scores in millionths), rounded last.
+    """
+    score = F.round(F.col("score") * MILLION).cast("decimal(18,0)")
+    size = F.col("length").cast("decimal(18,0)")
+    sums = {
+        "_s": F.sum(score), "_ss": F.sum((score * score).cast("decimal(28,0)")),
+        "_l": F.sum(size), "_ll": F.sum((size * size).cast("decimal(28,0)")), "_n": F.count("score"),
+    }
+    whole = {name: value.cast("decimal(38,0)" if name in ("_ss", "_ll") else "decimal(18,0)") for name, value in sums.items()}
     per_seq = motifs.groupBy("seq_id").agg(
         F.count(F.lit(1)).alias("total_motifs"),
         F.countDistinct("class").alias("classes_detected"),
         F.countDistinct("subclass").alias("subclasses_detected"),
-        F.avg("score").alias("score_mean"),
-        F.stddev_pop("score").alias("score_std"),
         F.min("score").alias("score_min"),
         F.max("score").alias("score_max"),
-        F.avg("length").alias("length_mean"),
-        F.stddev_pop("length").alias("length_std"),
         F.min("length").alias("length_min"),
         F.max("length").alias("length_max"),
+        *[value.alias(name) for name, value in whole.items()],
+    )
+    n, total = F.col("_n"), F.col("total_motifs")
+    per_seq = per_seq.select(
+        "*",
+        exact_mean(F.col("_s"), n, MILLION, 3).alias("score_mean"),
+        exact_deviation(F.col("_s"), F.col("_ss"), n, MILLION).alias("score_std"),
+        exact_mean(F.col("_l"), total, 1, 1).alias("length_mean"),
+        exact_deviation(F.col("_l"), F.col("_ll"), total, 1).alias("length_std"),
     )
     joined = (
         lengths.select("seq_id", "seq_len")
@@ -99,8 +129,10 @@ def motif_statistics(motifs: DataFrame, lengths: DataFrame) -> DataFrame:
         F.when(positive, F.round(F.col("total_motifs") / (F.col("seq_len") / 1000), 2)).otherwise(0.0).alias("density_per_kb"),
         "classes_detected",
         "subclasses_detected",
-        *[F.round(c, 3).alias(c) for c in ("score_mean", "score_std", "score_min", "score_max")],
-        *[F.round(c, 1).alias(c) for c in ("length_mean", "length_std")],
+        "score_mean",
+        *[F.round(c, 3).alias(c) for c in ("score_std", "score_min", "score_max")],
+        "length_mean",
+        F.round("length_std", 1).alias("length_std"),
         "length_min",
         "length_max",
     )

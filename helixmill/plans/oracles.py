@@ -272,9 +272,9 @@ ORACLES["density_table"] = f"""{MOTIFS}, {_DENS}, {_POS} SELECT seq_id, class, d
   FROM dens JOIN cnt USING (seq_id, class) JOIN lens USING (seq_id)"""
 _STATS = f"""{cover('seq_id', 'co')}, st AS (SELECT lens.seq_id, coalesce(n, 0) AS total_motifs, CASE WHEN seq_len > 0 THEN round(coalesce(covered, 0) * 100.0 / seq_len, 2) ELSE 0 END AS coverage_percent,
   CASE WHEN seq_len > 0 THEN round(coalesce(n, 0) / (seq_len / 1000.0), 2) ELSE 0 END AS density_per_kb, coalesce(c, 0) AS classes_detected, coalesce(s, 0) AS subclasses_detected,
-  round(sm, 3) AS score_mean, round(ss, 3) AS score_std, round(s0, 3) AS score_min, round(s1, 3) AS score_max, round(lm, 1) AS length_mean, round(ls, 1) AS length_std, l0 AS length_min, l1 AS length_max
-  FROM lens LEFT JOIN (SELECT seq_id, count(*) AS n, count(DISTINCT class) AS c, count(DISTINCT subclass) AS s, avg(score) AS sm, stddev_pop(score) AS ss, min(score) AS s0, max(score) AS s1,
-    avg(length) AS lm, stddev_pop(length) AS ls, min(length) AS l0, max(length) AS l1 FROM m GROUP BY seq_id) a ON a.seq_id = lens.seq_id LEFT JOIN co ON co.seq_id = lens.seq_id)"""
+  floor((2000 * us + n * 1000000) // (n * 2000000)) / 1000 AS score_mean, round(sqrt(CAST(n * uss - us * us AS DOUBLE)) / n / 1000000, 3) AS score_std, round(s0, 3) AS score_min, round(s1, 3) AS score_max, floor((20 * ul + n) // (n * 2)) / 10 AS length_mean, round(sqrt(CAST(n * ull - ul * ul AS DOUBLE)) / n, 1) AS length_std, l0 AS length_min, l1 AS length_max
+  FROM lens LEFT JOIN (SELECT seq_id, count(*) AS n, count(DISTINCT class) AS c, count(DISTINCT subclass) AS s, sum(CAST(round(score * 1000000) AS HUGEINT)) AS us, sum(CAST(round(score * 1000000) AS HUGEINT) * CAST(round(score * 1000000) AS HUGEINT)) AS uss, min(score) AS s0, max(score) AS s1,
+    sum(CAST(length AS HUGEINT)) AS ul, sum(CAST(length AS HUGEINT) * length) AS ull, min(length) AS l0, max(length) AS l1 FROM m GROUP BY seq_id) a ON a.seq_id = lens.seq_id LEFT JOIN co ON co.seq_id = lens.seq_id)"""
 ORACLES["motif_statistics"] = f"{MOTIFS}, {_STATS} SELECT * FROM st"
 ORACLES["sequence_summary"] = f"""{MOTIFS} SELECT seq_id, count(*) AS total_motifs, count(DISTINCT class) AS classes_detected, count(DISTINCT subclass) AS subclasses_detected, round(avg(score), 3) AS score_mean, round(avg(length), 1) AS length_mean FROM m GROUP BY seq_id"""
 ORACLES["summary_table"] = f"""{MOTIFS}, {_STATS} SELECT seq_id, length(bases) AS length_bp, round(100.0 * {counts('GC')} / length(bases), 2) AS gc_percent, total_motifs, coverage_percent, density_per_kb, classes_detected, subclasses_detected

@@ -140,8 +140,8 @@ def test_local_scans_do_not_depend_on_cuts():
         key = lambda row, lo: (row["family"], row["start"] + lo, min(row["end"], 10**9) + lo)
         whole = sorted(key(r, 0) for r in SCANNERS[det](Chunk(text, len(text))))
         pieces = []
-        for lo, hi, piece in chunks.cut_sequence(text, 700, 4200):
-            pieces += [key(r, lo) for r in SCANNERS[det](Chunk(piece, hi - lo, lo, len(text)))]
+        for lo, hi, reach, piece in chunks.cut_sequence(text, 700, 4200):
+            pieces += [key(r, lo) for r in SCANNERS[det](Chunk(piece, hi - lo, lo, len(text), reach, text.find))]
         assert sorted(pieces) == whole
     assert len(list(chunks.cut_sequence(text, 700, 4200))) > 5
 
@@ -154,8 +154,30 @@ def test_context_covers_long_palindromes():
     whole = K.paired_arms(K.to_bytes(text), 6, 100, len(text), True)
     split = [
         (left + lo, right + lo, size)
-        for lo, hi, piece in pieces
+        for lo, hi, _, piece in pieces
         for left, right, size, _ in K.paired_arms(K.to_bytes(piece), 6, 100, hi - lo, True).tolist()
     ]
     assert sorted(split) == sorted(tuple(r[:3]) for r in whole.tolist())
     assert np.max(whole[:, 2]) > 2000
+
+
+def test_tandem_score_is_the_best_repeat_inside():
+    """Against a plain search over every offset and unit of the block."""
+
+    def search(text):
+        best = 0.0
+        for unit in range(1, len(text) // 3 + 1):
+            for i in range(len(text) - 3 * unit + 1):
+                word, copies = text[i : i + unit], 1
+                while "N" not in word and text.startswith(word, i + copies * unit):
+                    copies += 1
+                if copies >= 3 and copies * unit >= 10 and unit <= 9:
+                    best = max(best, copies * unit**0.5)
+        return min(best / 10, 1.0) if best <= 8 else 1.0
+
+    rng = random.Random(7)
+    for _ in range(1500):
+        unit = "".join(rng.choice("AACGTN" if rng.random() < 0.2 else "AAC") for _ in range(rng.randint(1, 9)))
+        copies = rng.randint(2, 14)
+        if len(unit) * copies >= 10:
+            assert abs(K.tandem_score(unit, copies) - search(unit * copies)) < 1e-12

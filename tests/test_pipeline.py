@@ -178,3 +178,39 @@ def test_streaming_ingest(spark, tmp_path):
     query = stream_fasta(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck"))
     query.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() > 0
+
+
+def test_fasta_names_do_not_depend_on_splits(spark, tmp_path):
+    text = "stray\nACGT\n>one\nACGT\n" + "".join(f">\nAC{'ACGT'[n % 4] * 9}\n" for n in range(300)) + "  >two \nGG\n>one\nTTTT\n"
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "g.fa").write_text(text)
+    want = {"one": "TTTT", "two": "GG"} | {f"sequence_{n + 2}": "AC" + "ACGT"[n % 4] * 9 for n in range(300)}
+    for size in ("128m", "700", "64"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            got = read_fasta(spark, str(tmp_path / "*" / "g.fa")).collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert len(got) == 2 * len(want) and len({r.seq_id for r in got}) == len(got)
+        assert {r.seq_name: r.bases for r in got} == want
+
+
+def detected(spark, text, chunk_len):
+    from helixmill.operators import motifs as M
+
+    rows = M.detect(sequences_from_dict(spark, {"s": text}), M.ALL, chunk_len).collect()
+    return sorted((r["class"], r.subclass, r.start, r.end, r.score) for r in rows)
+
+
+def test_motifs_do_not_depend_on_cuts(spark):
+    rng = random.Random(11)
+    dna = lambda n, letters="ACGT": "".join(rng.choice(letters) for _ in range(n))
+    arm = dna(7000)
+    palindrome = dna(3000) + arm + dna(20) + arm[::-1].translate(str.maketrans("ACGT", "TGCA")) + dna(14000)
+    purine = "".join(dna(rng.randint(20, 200), "AG") + dna(rng.randint(2, 30)) for _ in range(250))
+    for text in (palindrome, purine):
+        whole = detected(spark, text, None)
+        assert whole and all(detected(spark, text, n) == whole for n in (5000, 2500))

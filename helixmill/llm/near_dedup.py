@@ -11,16 +11,19 @@ At similarity 0.75 a pair lies beyond the radius with a probability of about 4e-
 1. One narrow pass gives each document's set size, a 128-bit identity of its set and its signature.
    Documents with equal sets form a class; only one of a class goes on, so copies cost nothing.
 2. Index rows (key, class) are dealt by key; keys met once are dropped. A bucket is read as a
-   stream: members within the radius of an earlier leader are linked to it, others become leaders,
-   at most ``LEADERS`` are held, and close pairs of members of different leaders are added.
+   stream: up to ``LEADERS`` members that are not very close to each other are held, and every
+   member within the radius of one is linked to the nearest. Each class keeps its best link.
 3. Links are confirmed on the full sets, made anew from the whole texts, by joins on both ends.
-4. Confirmed links give components. Only buckets with a failed link to a leader, or with more
-   than the stream settles, are opened again: every pair within the radius whose ends lie in
-   different components is tried, large buckets being split into blocks that meet pairwise.
+   Confirmed links give components.
+4. Buckets with a pair within the radius that still hold several components are opened again,
+   large ones split into blocks that meet pairwise: first every member is tried against its
+   nearest of another component, then, with the components that gave, all pairs that are left.
+   A longer signature of ``FINE`` slots of 4 bits, made with the sets, weeds out pairs far below
+   the threshold (a pair at 0.75 is lost with a probability of about 2e-5).
    So no close pair is lost, and groups of copies never become all their pairs.
 
 Scale: what is shuffled is one short row per document, 60 index rows of 16 bytes per class,
-signatures in buckets with company, and sets of linked documents. Nothing is collected.
+signatures in buckets with company, and sets of documents with a link. Nothing is collected.
 
 Cases: texts that are null or have no words have no set and are linked with nothing; null ids are
 linked with nothing, have no component and count as kept; rows that repeat id and text are one
@@ -44,13 +47,16 @@ WORDS = 5
 CHUNKS, CHUNK_SLOTS = 15, 4
 SLOTS = CHUNKS * CHUNK_SLOTS
 RADIUS = 2 * CHUNKS - 1
-LEADERS, SMALL_BUCKET, BLOCK_ROWS = 64, 256, 2048
+LEADERS, CLOSE, BLOCK_ROWS = 64, 13, 2048
+FINE, FINE_RADIUS = 512, 161
 
 _RANDOM = np.random.default_rng(20240917)
 PLACE = _RANDOM.integers(1, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)
 SHORT = _RANDOM.integers(1, 1 << 63, WORDS, dtype=np.uint64)
 SALT = _RANDOM.integers(1, 1 << 63, SLOTS, dtype=np.uint64)
 FACTOR = _RANDOM.integers(1, 1 << 63, SLOTS, dtype=np.uint64) | np.uint64(1)
+FINE_SALT = _RANDOM.integers(1, 1 << 63, FINE, dtype=np.uint64)
+FINE_FACTOR = _RANDOM.integers(1, 1 << 63, FINE, dtype=np.uint64) | np.uint64(1)
 VARIANT = _RANDOM.integers(1, 1 << 63, SLOTS, dtype=np.uint64)
 
 
@@ -84,6 +90,22 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return found
 
 
+def fine_signatures(sets: list[np.ndarray]) -> list[bytes | None]:
+    """FINE slots of 4 bits, two to a byte; None for an empty set."""
+    found: list[bytes | None] = []
+    for one in sets:
+        if not len(one):
+            found.append(None)
+            continue
+        slots = np.full(FINE, np.iinfo(np.uint64).max)
+        for at in range(0, len(one), 1024):
+            part = ((one[at : at + 1024, None] ^ FINE_SALT) * FINE_FACTOR).min(axis=0)
+            slots = np.minimum(slots, part)
+        bits = (mix(slots) & np.uint64(15)).astype(np.uint8)
+        found.append((bits[::2] << 4 | bits[1::2]).tobytes())
+    return found
+
+
 def index_keys(signature: np.ndarray) -> np.ndarray:
     """Per signature one key for every slot that may be wrong, under the other slots of its chunk."""
     wide = signature.astype(np.uint64).reshape(-1, CHUNKS, CHUNK_SLOTS)
@@ -146,61 +168,47 @@ class Bucket:
     """One bucket read as a stream of members in order of their ids."""
 
     def __init__(self, key: int):
-        self.key, self.n = key, 0
+        self.key = key
         self.leaders, self.leader_ids = np.zeros((0, SLOTS), np.uint16), np.zeros(0, np.int64)
-        self.members: list[tuple[np.ndarray, np.ndarray, np.ndarray]] | None = []
-        self.open = False
 
     def add(self, ids: np.ndarray, rows: np.ndarray, out: list) -> None:
-        self.n += len(ids)
-        leader, left = np.full(len(ids), -1), np.arange(len(ids))
+        """Links every member to the nearest leader within the radius; notes those that found no place."""
+        best, near = np.full(len(ids), SLOTS + 1), np.full(len(ids), -1)
         for n in range(len(self.leader_ids)):
-            if not len(left):
+            apart = distance(rows, self.leaders[n])
+            closer = apart < best
+            best[closer], near[closer] = apart[closer], self.leader_ids[n]
+        at, chosen = 0, np.zeros(len(ids), bool)
+        while len(self.leader_ids) < LEADERS:
+            apart = np.flatnonzero(best[at:] > CLOSE)
+            if not len(apart):
                 break
-            near = distance(rows[left], self.leaders[n]) <= RADIUS
-            leader[left[near]] = self.leader_ids[n]
-            left = left[~near]
-        while len(left) and len(self.leader_ids) < LEADERS:
-            head = left[0]
-            self.leaders = np.vstack([self.leaders, rows[head : head + 1]])
-            self.leader_ids = np.append(self.leader_ids, ids[head])
-            near = distance(rows[left], rows[head]) <= RADIUS
-            leader[left[near]] = ids[head]
-            left = left[~near]
-        linked = (leader >= 0) & (leader != ids)
-        out.append((np.full(linked.sum(), self.key), leader[linked], ids[linked]))
-        self.open |= len(left) > 0
-        if self.members is not None:
-            self.members.append((ids, rows, leader))
-            if self.n > SMALL_BUCKET:
-                self.members = None
-
-    def close(self, out: list) -> bool:
-        """Adds close pairs of different leaders' members; says whether the bucket is unsettled."""
-        if len(self.leader_ids) > 1 and self.members is None:
-            return True
-        if len(self.leader_ids) > 1 and not self.open:
-            ids, rows, leader = (np.concatenate(c) for c in zip(*self.members))
-            for n in range(len(ids) - 1):
-                other = np.flatnonzero(leader[n + 1 :] != leader[n]) + n + 1
-                other = other[distance(rows[other], rows[n]) <= RADIUS]
-                out.append((np.full(len(other), self.key), np.full(len(other), ids[n]), ids[other]))
-        return self.open
+            at += int(apart[0])
+            self.leaders = np.vstack([self.leaders, rows[at : at + 1]])
+            self.leader_ids = np.append(self.leader_ids, ids[at])
+            chosen[at] = True
+            apart = distance(rows[at + 1 :], rows[at])
+            closer = np.flatnonzero(apart < best[at + 1 :]) + at + 1
+            best[closer], near[closer] = apart[closer - at - 1], ids[at]
+            at += 1
+        linked = (best <= RADIUS) & (near != ids)
+        lost = ~linked & ~chosen
+        out.append((self.key, near[linked], ids[linked], best[linked]))
+        out.append((self.key, np.full(lost.sum(), -1), ids[lost], np.full(lost.sum(), -1)))
 
 
 def links_in_buckets(members: DataFrame) -> DataFrame:
-    """key, a, b for links to try; a row without b marks a bucket to be opened again.
+    """key, a, b, apart: links to the nearest leader; a is null for a member that found no place.
 
     ``members(key, rep, sig)`` must be sorted by key and rep within its partitions.
     """
 
-    def rows_of(out, unsettled):
-        key, a, b = (np.concatenate([np.zeros(0, np.int64), *c]) for c in (zip(*out) if out else ((), (), ())))
-        marks = np.array(unsettled, np.int64)
-        nothing = pa.nulls(len(marks), pa.int64())
+    def rows_of(out):
+        key = np.concatenate([np.zeros(0, np.int64), *[np.broadcast_to(k, len(b)) for k, _, b, _ in out]])
+        a, b, apart = (np.concatenate([np.zeros(0, np.int64), *[o[n] for o in out]]) for n in (1, 2, 3))
+        missing = apart < 0
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.append(key, marks).astype(np.int64)), pa.concat_arrays([pa.array(a.astype(np.int64)), nothing]), pa.concat_arrays([pa.array(b.astype(np.int64)), nothing])],
-            ["key", "a", "b"],
+            [pa.array(key), pa.array(a, mask=missing), pa.array(b), pa.array(apart, mask=missing)], ["key", "a", "b", "apart"]
         )
 
     def run(batches):
@@ -209,78 +217,100 @@ def links_in_buckets(members: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             keys, ids = batch.column("key").to_numpy(), batch.column("rep").to_numpy()
-            rows, out, unsettled = as_matrix(batch.column("sig")), [], []
+            rows, out = as_matrix(batch.column("sig")), []
             heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
             ends = np.append(heads[1:], len(keys))
             # buckets of two that lie within the batch are compared all at once
             pairs = heads[(ends - heads == 2) & (heads > 0) & (ends < len(keys))]
-            near = pairs[np.count_nonzero(rows[pairs] != rows[pairs + 1], axis=1) <= RADIUS]
-            out.append((keys[near], ids[near], ids[near + 1]))
+            apart = np.count_nonzero(rows[pairs] != rows[pairs + 1], axis=1)
+            near = pairs[apart <= RADIUS]
+            out.append((keys[near], ids[near], ids[near + 1], apart[apart <= RADIUS]))
             done = set(pairs.tolist())
             for start, end in zip(heads.tolist(), ends.tolist()):
                 if start in done:
                     continue
                 if bucket is None or bucket.key != keys[start]:
-                    if bucket is not None and bucket.close(out):
-                        unsettled.append(bucket.key)
                     bucket = Bucket(int(keys[start]))
                 bucket.add(ids[start:end], rows[start:end], out)
-            yield rows_of(out, unsettled)
-        if bucket is not None:
-            out = []
-            yield rows_of(out, [bucket.key] if bucket.close(out) else [])
+            yield rows_of(out)
 
-    return members.mapInArrow(run, "key long, a long, b long")
+    return members.mapInArrow(run, "key long, a long, b long, apart long")
 
 
-def pairs_across(members: DataFrame) -> DataFrame:
-    """a, b within the radius but in different components, from blocks (key, low, high) of large buckets."""
+def pairs_across(members: DataFrame, nearest: bool) -> DataFrame:
+    """a, b within the radius but in different components, from blocks (key, low, high) of buckets.
+
+    With ``nearest`` only the nearest such partner of each member of a block, else all.
+    """
 
     def run(batches):
         held, group = [], None
 
         def compare():
-            ids, part, comp, rows = (np.concatenate(c) for c in zip(*held))
+            ids, part, comp, rows, fine = (np.concatenate(c) for c in zip(*held))
             low, high = group[1], group[2]
-            a, b = [], []
+            known = fine.any(axis=1)
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for n in range(len(ids)):
-                other = np.flatnonzero((comp != comp[n]) & (ids > ids[n]) if low == high else (comp != comp[n]) & (part > part[n]))
-                other = other[distance(rows[other], rows[n]) <= RADIUS]
+                ahead = nearest or ids > ids[n] if low == high else (part != part[n] if nearest else part > part[n])
+                other = np.flatnonzero((comp != comp[n]) & ahead)
+                apart = distance(rows[other], rows[n])
+                other, apart = other[apart <= RADIUS], apart[apart <= RADIUS]
+                if known[n] and len(other):
+                    further = np.where(known[other], np.count_nonzero(fine[other] != fine[n], axis=1), 0)
+                    other, apart = other[further <= FINE_RADIUS], further[further <= FINE_RADIUS]
+                if nearest and len(other) > 1:
+                    other = other[[apart.argmin()]]
                 a.append(np.minimum(ids[n], ids[other]))
                 b.append(np.maximum(ids[n], ids[other]))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+            found = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
             key, low, high, ids, part, comp = (batch.column(c).to_numpy() for c in ("key", "low", "high", "rep", "part", "component"))
-            rows = as_matrix(batch.column("sig")) if batch.num_rows else None
+            rows, packed = as_matrix(batch.column("sig")), batch.column("fine")
+            fine = np.frombuffer(b"".join(f or bytes(FINE // 2) for f in packed.to_pylist()), np.uint8).reshape(-1, FINE // 2)
+            fine = np.concatenate((fine >> 4, fine & 15), axis=1)
             change = (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
-            heads = np.flatnonzero(np.append(True, change)) if batch.num_rows else []
+            heads = np.flatnonzero(np.append(True, change))
             for start, end in zip(heads, np.append(heads[1:], len(key))):
                 if group != (key[start], low[start], high[start]):
                     if held:
                         yield compare()
                     held, group = [], (key[start], low[start], high[start])
-                held.append((ids[start:end], part[start:end], comp[start:end], rows[start:end]))
+                held.append((ids[start:end], part[start:end], comp[start:end], rows[start:end], fine[start:end]))
         if held:
             yield compare()
 
     return members.mapInArrow(run, "a long, b long")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, share: int) -> DataFrame:
-    """The pairs with 100 * intersection >= share * union of their full sets."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, set (sorted hashes) and fine signature of the documents in ``ids(id)``."""
 
-    def sets(batches):
+    def run(batches):
         for block in blocks(batches):
-            found = [s.tobytes() for s in shingle_sets(block.column("text"))]
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(found, pa.binary())], ["id", "set"])
+            sets = shingle_sets(block.column("text"))
+            columns = [block.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(fine_signatures(sets), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "set", "fine"])
+
+    texts = docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select("doc_id", "text")
+    return materialize(texts.mapInArrow(run, "id long, set binary, fine binary"))
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """The pairs with 100 * intersection >= share * union of their full sets."""
 
     def compare(batches):
         for batch in batches:
-            left, right = batch.column("set_a"), batch.column("set_b")
             keep = []
-            for x, y in zip(left, right):
+            for x, y in zip(batch.column("set_a"), batch.column("set_b")):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 if 100 * min(len(x), len(y)) < share * max(len(x), len(y)):
                     keep.append(False)
@@ -290,11 +320,26 @@ def confirm(pairs: DataFrame, docs: DataFrame, share: int) -> DataFrame:
                 keep.append(100 * common >= share * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    texts = docs.join(ends, "doc_id", "left_semi").select("doc_id", "text")
-    known = materialize(texts.mapInArrow(sets, "id long, set binary"))
-    left = known.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
-    right = known.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long").distinct()
+    left = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
+    right = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
+    return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long").distinct())
+
+
+def members_of_open_buckets(company: DataFrame, keys: DataFrame, linked: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members of the buckets ``keys`` that hold several components, dealt into blocks of large buckets."""
+    placed = company.where("n > 2").join(keys, "key", "left_semi").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
+    placed = placed.select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi").select("key")
+    parts = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
+    return (
+        placed.join(mixed, "key", "left_semi")
+        .withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int"))
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), parts - 1)))
+        .select("key", F.least("part", "_other").alias("low"), F.greatest("part", "_other").alias("high"), "rep", "part", "component")
+        .join(classes.select("rep", "sig"), "rep")
+        .join(sets.select(F.col("id").alias("rep"), "fine"), "rep", "left")
+        .repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    )
 
 
 def near_duplicates(docs: DataFrame, share: int = 75, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -309,30 +354,28 @@ def near_duplicates(docs: DataFrame, share: int = 75, id_column: str = "doc_id",
     company = materialize(index_rows(classes).withColumn("n", counted).where("n > 1"))
     signed = company.join(classes.select("rep", "sig"), "rep")
     sorted_members = signed.select("key", "rep", "sig").repartition("key").sortWithinPartitions("key", "rep")
-    tried = materialize(links_in_buckets(sorted_members))
+    links = materialize(links_in_buckets(sorted_members))
     reps = texts.where("doc_id is not null")
-    first = materialize(confirm(tried.where("b is not null").select("a", "b").distinct(), reps, share))
+    # a bucket of two has no more than its link, which is tried whatever better links there are
+    best = Window.partitionBy("b").orderBy("apart", "a")
+    ranked = links.where("a is not null").join(company.select("key", "rep", "n"), (F.col("b") == F.col("rep")) & (links["key"] == company["key"]))
+    ranked = ranked.select("a", "b", "apart", "n").groupBy("a", "b").agg(F.min("apart").alias("apart"), F.min("n").alias("n"))
+    tried = materialize(ranked.withColumn("_best", F.row_number().over(best)).where("_best = 1 or n = 2").select("a", "b"))
+    sets = full_sets(reps, ends_of(links.where("a is not null").select("a", "b")))
+    first = confirm(tried, sets, share)
     linked = materialize(components(first))
-
-    failed = tried.where("b is not null").join(first, ["a", "b"], "left_anti").select("key")
-    again = failed.unionByName(tried.where("b is null").select("key")).distinct()
-    # a bucket of two has been tried out
-    placed = company.where("n > 2").join(again, "key", "left_semi").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
-    placed = placed.select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi").select("key")
-    parts = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
-    spread = (
-        placed.join(mixed, "key", "left_semi")
-        .withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int"))
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), parts - 1)))
-        .select("key", F.least("part", "_other").alias("low"), F.greatest("part", "_other").alias("high"), "rep", "part", "component")
-        .join(classes.select("rep", "sig"), "rep")
-        .repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    )
-    more = materialize(pairs_across(spread).distinct().join(tried.select("a", "b").distinct(), ["a", "b"], "left_anti"))
-    second = materialize(confirm(more, reps, share))
-    if second.head() is not None:
-        linked = components(first.unionByName(second))
+    keys = links.select("key").distinct()
+    for nearest in (True, False):
+        spread = members_of_open_buckets(company, keys, linked, classes, sets)
+        more = materialize(pairs_across(spread, nearest).distinct().join(tried, ["a", "b"], "left_anti"))
+        unknown = materialize(ends_of(more).join(sets.select("id"), "id", "left_anti"))
+        if unknown.head() is not None:
+            sets = sets.unionByName(full_sets(reps, unknown))
+        found = confirm(more, sets, share)
+        tried = tried.unionByName(more)
+        if found.head() is not None:
+            first = first.unionByName(found)
+            linked = materialize(components(first))
 
     placed = classes.select(*identity, "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
     placed = placed.select(*identity, F.coalesce("component", "rep").alias("component_id"))

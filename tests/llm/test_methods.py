@@ -147,7 +147,7 @@ def classes(rows):
 @pytest.mark.parametrize("small", [False, True])
 def test_near_duplicates_equal_brute_force(spark, monkeypatch, small):
     if small:  # reach the paths of large buckets
-        for name, value in (("LEADERS", 2), ("SMALL_BUCKET", 4), ("BLOCK_ROWS", 8)):
+        for name, value in (("LEADERS", 2), ("BLOCK_ROWS", 8)):
             monkeypatch.setattr(near_dedup, name, value)
     rows, docs = near_tables(spark)
     want, sets = classes(rows)

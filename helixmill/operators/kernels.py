@@ -6,7 +6,7 @@ import re
 
 import numpy as np
 
-from helixmill import tables as T
+from helixmill import tables as T, tenmers
 
 _BASE = np.full(256, 4, np.uint8)
 for _n, _b in enumerate(b"ACGT"):
@@ -364,40 +364,31 @@ def paired_arms(raw: np.ndarray, k: int, max_loop: int, n_core: int, complement:
 
 
 # --- scored 10-mers --------------------------------------------------------------------------
-_Z_TABLE = np.zeros((5, 5))
-for _pair, _score in T.Z_STEP.items():
-    _Z_TABLE["ACGT".index(_pair[0]), "ACGT".index(_pair[1])] = _score
-_A_TABLE = np.full(256, np.nan)
-for _word, _score in T.A_PHILIC_STEP.items():
-    _A_TABLE[sum("ACGT".index(c) * 4 ** (3 - n) for n, c in enumerate(_word))] = _score
+def _by_code(scores: dict[str, float]) -> np.ndarray:
+    """Scores by packed 10-mer code; NaN where a 10-mer is not listed."""
+    table = np.full(4**10, np.nan)
+    for word, score in scores.items():
+        table[int(word.translate(str.maketrans("ACGT", "0123")), 4)] = score
+    return table
+
+
+_Z_SCORES, _A_SCORES = _by_code(tenmers.Z_DNA), _by_code(tenmers.A_PHILIC)
+
+
+def _listed(raw: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where listed 10-mers begin, and their scores."""
+    code = word_codes(raw, 10)
+    score = np.where(code < 0, np.nan, table[np.maximum(code, 0)])
+    at = np.flatnonzero(~np.isnan(score))
+    return at, score[at]
 
 
 def z_tenmers(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    base = _BASE[raw]
-    n = len(raw) - 9
-    if n <= 0:
-        return np.empty(0, np.int64), np.empty(0)
-    step = _Z_TABLE[base[:-1], base[1:]]
-    step[(base[:-1] == 4) | (base[1:] == 4)] = -100.0
-    total = sum(step[t : t + n] for t in range(9))
-    at = np.flatnonzero(total >= T.Z_TENMER_MIN)
-    return at, total[at]
+    return _listed(raw, _Z_SCORES)
 
 
 def a_philic_tenmers(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    code = word_codes(raw, 4)
-    n = len(raw) - 9
-    if n <= 0:
-        return np.empty(0, np.int64), np.empty(0)
-    odds = np.where(code < 0, np.nan, _A_TABLE[code])
-    at = np.flatnonzero(~np.isnan(odds))
-    listed = np.zeros(len(code), bool)
-    listed[at] = True
-    full = listed[:n].copy()
-    for t in range(1, 7):
-        full &= listed[t : t + n]
-    at = np.flatnonzero(full)
-    return at, sum(odds[at + t] for t in range(7)) / 7
+    return _listed(raw, _A_SCORES)
 
 
 def merged_tenmers(at: np.ndarray, score: np.ndarray):

@@ -162,10 +162,39 @@ def _step(x, table):
     return f"CASE {x} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in table.items()) + " ELSE 0 END"
 
 
-ORACLES["z_dna_regions"] = _tenmers(" + ".join(f"({_step(f'substr(w, {t}, 2)', T.Z_STEP)})" for t in range(1, 10)), "CGC|GCG", "TRUE", 4)
-_LISTED = ", ".join(f"'{k}'" for k in T.A_PHILIC_STEP)
+# the scored 10-mers by another road: sums of step values, stated here on their own
+Z_STEP = {
+    "CG": 7.0,
+    "GC": 7.0,
+    "AC": 1.25,
+    "CA": 1.25,
+    "GT": 1.25,
+    "TG": 1.25,
+    "AT": 1.0,
+    "TA": 1.0,
+}
+A_PHILIC_STEP = {
+    "ACCC": 0.848,
+    "AGGG": 3.7004,
+    "CCCA": 2.0704,
+    "CCCC": 2.5361,
+    "CCCG": 0.848,
+    "CCCT": 3.7004,
+    "CCGG": 0.2591,
+    "CCTA": 1.585,
+    "CGGG": 0.848,
+    "GCCC": 2.4021,
+    "GGCC": 0.1343,
+    "GGGC": 2.4021,
+    "GGGG": 2.5361,
+    "GGGT": 0.848,
+    "TAGG": 1.585,
+    "TGGG": 2.0704,
+}
+ORACLES["z_dna_regions"] = _tenmers(" + ".join(f"({_step(f'substr(w, {t}, 2)', Z_STEP)})" for t in range(1, 10)), "CGC|GCG", "TRUE", 4)
+_LISTED = ", ".join(f"'{k}'" for k in A_PHILIC_STEP)
 ORACLES["a_philic_regions"] = _tenmers(
-    "(" + " + ".join(f"({_step(f'substr(w, {t}, 4)', T.A_PHILIC_STEP)})" for t in range(1, 8)) + ") / 7",
+    "(" + " + ".join(f"({_step(f'substr(w, {t}, 4)', A_PHILIC_STEP)})" for t in range(1, 8)) + ") / 7",
     "GGG|CCC",
     " AND ".join(f"substr(w, {t}, 4) IN ({_LISTED})" for t in range(1, 8)),
     4,

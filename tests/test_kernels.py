@@ -6,7 +6,9 @@ import re
 import numpy as np
 import pytest
 
+from helixmill import tenmers
 from helixmill import tables as T
+from helixmill.plans.oracles import A_PHILIC_STEP, Z_STEP
 from helixmill.operators import chunks
 from helixmill.operators import kernels as K
 from helixmill.operators.overlap import Cover, fates
@@ -97,9 +99,10 @@ def test_scored_tenmers():
     assert K.z_tenmers(K.to_bytes("NGCGCGCGCG"))[0].tolist() == []
     at, score = K.a_philic_tenmers(K.to_bytes("AGGGGGGGGG"))
     assert at.tolist() == [0] and score[0] == pytest.approx(2.702428571428571)
-    everywhere = ["".join("ACGT"[(n >> (2 * p)) & 3] for p in range(10)) for n in range(0, 4**10, 7919)]
-    listed = [w for w in everywhere if len(K.a_philic_tenmers(K.to_bytes(w))[0])]
-    assert all(w[p : p + 4] in T.A_PHILIC_STEP for w in listed for p in range(7))
+    for word, score in tenmers.Z_DNA.items():
+        assert score == sum(Z_STEP[word[p : p + 2]] for p in range(9)) >= 50
+    for word, score in tenmers.A_PHILIC.items():
+        assert score == pytest.approx(sum(A_PHILIC_STEP[word[p : p + 4]] for p in range(7)) / 7)
 
 
 def test_at_window_profile():

@@ -131,7 +131,7 @@ _SIZE_ROWS = ", ".join(f"('{k}', {v})" for k, v in _SIZES.items())
 ORACLES["pattern_counts"] = f"""WITH {DNA}, {hits(_REG)} SELECT h.class, CAST(s.n AS BIGINT) AS n_patterns, h.n_hits FROM (SELECT class, count(*) AS n_hits FROM hits GROUP BY class) h
   JOIN (VALUES {_SIZE_ROWS}) s(class, n) ON s.class = h.class"""
 
-ORACLES["raw_locations"] = f"""WITH {DNA}, {hits(PROBES)} SELECT DISTINCT seq_id, "start" - 1 AS "start", "end" FROM hits"""
+ORACLES["raw_locations"] = f"""WITH {DNA}, {hits(PROBES)} SELECT DISTINCT seq_id, class, pattern_id, "start" - 1 AS "start", "end" FROM hits"""
 
 ORACLES["a_tract_windows"] = f"""WITH {DNA}, {hits([("c", "p", "s", "[AT]{3,}")])},
   w AS (SELECT *, regexp_extract_all(sequence, 'A+T*|T+') AS f, regexp_extract_all({REVCOMP.replace('bases', 'sequence')}, 'A+T*|T+') AS r FROM hits),
@@ -266,7 +266,28 @@ ORACLES["g4_motifs"] = f"""WITH RECURSIVE {DNA}, {hits(_G4)}, c AS (SELECT *, {g
   {_greedy('c', f'''score DESC, CASE subclass {_G4_RANK} END, length DESC, ord, "start"''')}
   SELECT o.seq_id, 'G-Quadruplex' AS class, CASE subclass {_G4_NAME} END AS subclass, o."start", o."end", o.length, round(o.score, 3) AS score FROM g JOIN o USING (seq_id, rn) WHERE kept"""
 
-ORACLES["select_non_overlapping"] = MOTIFS.replace("WITH ", "WITH RECURSIVE ", 1) + f""", c AS (SELECT * FROM m WHERE class IN ('Triplex','G-Quadruplex','Z-DNA','R-Loop')),
+_IMOTIF_RANK = "CASE family WHEN 'canonical_imotif' THEN 1 WHEN 'hur_ac_motif' THEN 2 ELSE 999 END"
+ORACLES["imotif_motifs"] = f"""WITH RECURSIVE {DNA}, rev AS (SELECT seq_id, seq_name, {REVCOMP} AS bases FROM dna),
+  {hits(_IMO, 'r')}, {hits(_HUR, 'hf')}, {hits(_HUR, 'hr', 'rev')},
+  h AS (SELECT seq_id, "start", "end", sequence, length, CAST(pattern_id AS INTEGER) AS linker, 0 AS strand, ord FROM hf UNION ALL
+        SELECT seq_id, seq_len - "end" + 1, seq_len - "start" + 1, sequence, length, CAST(pattern_id AS INTEGER), 1, ord FROM hr),
+  c AS (SELECT seq_id, subclass AS family, "start", "end", length, {_CANON} AS score, 0 AS strand, ord FROM r WHERE subclass <> 'canonical_imotif' OR length >= 10
+        UNION ALL SELECT seq_id, 'ac_motif_hur', "start", "end", length, {_HURS}, strand, ord FROM h),
+  {_greedy('c', f'score DESC, {_IMOTIF_RANK}, length DESC, CASE WHEN strand = 0 AND family = \'hur_ac_motif\' THEN ord END, "start", strand, ord')}
+  SELECT o.seq_id, 'i-Motif' AS class, CASE family WHEN 'canonical_imotif' THEN 'Canonical i-Motif' ELSE 'HUR AC-Motif' END AS subclass, o."start", o."end", o.length, round(o.score, 3) AS score
+  FROM g JOIN o USING (seq_id, rn) WHERE kept"""
+
+_RIZ_NAME = " ".join(f"WHEN '{fam}' THEN '{sub}'" for fam, _, _, sub, *_ in catalogs.RIZ)
+ORACLES["r_loop_motifs"] = "WITH RECURSIVE" + ORACLES["r_loop_zones"].removeprefix("WITH").replace("c AS (SELECT *, unnest", "cells AS (SELECT *, unnest").replace("AS we FROM c)", "AS we FROM cells)").replace("g AS (SELECT seq_id, subclass", "grid AS (SELECT seq_id, subclass").replace("AS rn FROM g WHERE", "AS rn FROM grid WHERE").replace("\n  SELECT z.seq_id", ",\n  zones AS (SELECT z.seq_id") + f"""),
+  c AS (SELECT seq_id, model, riz_start AS "start", coalesce(rez_end, riz_end) AS "end", riz_g_percent AS riz, coalesce(rez_g_percent * (rez_end - rez_start) / 100.0, 0.0) AS zone FROM zones),
+  {_greedy('c', 'riz + zone DESC, "end" - "start" DESC, model, "start"')}
+  SELECT o.seq_id, 'R-Loop' AS class, CASE o.model {_RIZ_NAME} END AS subclass, o."start", CAST(o."end" AS BIGINT) AS "end", CAST(o."end" - o."start" + 1 AS BIGINT) AS length, round(o.riz / 100.0 + o.zone / 100.0, 3) AS score
+  FROM g JOIN o USING (seq_id, rn) WHERE kept"""
+
+ORACLES["z_dna_motifs"] = f"""SELECT seq_id, 'Z-DNA' AS class, 'Z-DNA' AS subclass, "start", "end", "end" - "start" + 1 AS length, round(score, 3) AS score FROM ({ORACLES['z_dna_regions']}) WHERE score > 50
+  UNION ALL SELECT seq_id, 'A-philic_DNA', 'A-philic DNA', "start", "end", "end" - "start" + 1, round(score, 3) FROM ({ORACLES['a_philic_regions'].replace('4) AS score', '6) AS score')}) WHERE score > 0.5"""
+
+ORACLES["select_non_overlapping"] = MOTIFS.replace("WITH ", "WITH RECURSIVE ", 1) + f""", c AS (SELECT * FROM m),
   {_greedy('c', 'score DESC, length DESC, ord, "start"')}
   SELECT o.seq_id, o.class, o.subclass, o."start", o."end" FROM g JOIN o USING (seq_id, rn) WHERE kept"""
 

@@ -165,8 +165,7 @@ def _clusters(spark, sf):
 
 
 def _selected(spark, sf):
-    m = probe_motifs(spark, sf).where(F.col("class").isin("Triplex", "G-Quadruplex", "Z-DNA", "R-Loop"))
-    kept = select_non_overlapping(materialize(m), [], [-F.col("score"), -F.col("length"), F.col("det_order"), F.col("start")], slack=0)
+    kept = select_non_overlapping(materialize(probe_motifs(spark, sf)), [], [-F.col("score"), -F.col("length"), F.col("det_order"), F.col("start")], slack=0)
     return kept.select("seq_id", "class", "subclass", "start", "end")
 
 
@@ -282,7 +281,7 @@ def _g4_counts(spark, sf):
 
 
 def _raw_locations(spark, sf):
-    return P.raw_locations(dna(spark, sf), PROBES).select("seq_id", "start", "end").distinct()
+    return P.raw_locations(dna(spark, sf), PROBES).drop("pattern_key")
 
 
 def _top_hits(spark, sf):

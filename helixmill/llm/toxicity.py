@@ -2,11 +2,12 @@
 
 A document is the set of its hashed words. The machine adds a weight for each term and a product
 of factor vectors for each pair of terms, so that two terms together can count for more (or less)
-than each alone. Terms are chosen by a test of independence on counts over *all* labelled
-documents (different texts count once, so that groups of copies do not vote many times), summed in
-Spark; the machine is fitted on the driver on a bounded sample of at most about ``max_rows``
-labelled documents reduced to those terms. Scoring is one narrow pass with the broadcast machine,
-whose size is bounded by ``n_terms``.
+than each alone. It is fitted on a bounded sample: the ``max_rows`` labelled documents with the
+smallest seeded hashes of their ids, each different text once, so that groups of copies do not
+vote many times. Spark counts terms over the sample and chooses them by a test of independence;
+the machine is fitted on the driver on the sample reduced to those terms. Scoring is one narrow
+pass over all texts with the broadcast machine, whose size is bounded by ``n_terms``. Only the
+ids of the sample, bounded too, are broadcast to find its texts, so no text is shuffled.
 
 Cases: null or empty texts get the score of a document without terms; null labels and null ids are
 not learnt; a document labelled twice counts as toxic if one label says so; with nothing to learn
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 
 from helixmill.llm.text import blocks, flat_utf8
 from helixmill.llm.words import NOT_ALPHANUMERIC, word_hashes
+from helixmill.session import materialize
 
 SCHEMA = "doc_id long, score double"
 
@@ -103,13 +105,17 @@ class FactorizationMachine:
                 self.bias -= self.rate * step / np.sqrt(seen_bias)
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text and toxic (0/1) of documents with a label, each different text once."""
+def labelled(docs: DataFrame, labels: DataFrame, max_rows: int, seed: int) -> DataFrame:
+    """doc_id, text and toxic (0/1) of the sampled documents, each different text once."""
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.col("text").cast("string").alias("text"))
-    joined = rows.join(marks, "doc_id").select("doc_id", "text", (F.col("toxic") > 0).cast("int").alias("toxic"))
-    firsts = joined.groupBy(F.xxhash64("text"), F.sha1("text")).agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    return joined.join(firsts, "doc_id", "left_semi")
+    order = F.xxhash64(F.lit(seed), "doc_id")
+    known = docs.where("doc_id is not null and text is not null").select("doc_id").distinct()
+    sample = marks.join(known, "doc_id", "left_semi").orderBy(order, "doc_id").limit(max_rows)
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
+    rows = rows.join(F.broadcast(sample), "doc_id").select("doc_id", "text", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    rows = materialize(rows)
+    firsts = rows.groupBy(F.xxhash64("text"), F.sha1("text")).agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    return rows.join(F.broadcast(firsts), "doc_id", "left_semi")
 
 
 def term_counts(rows: DataFrame) -> DataFrame:
@@ -129,10 +135,10 @@ def term_counts(rows: DataFrame) -> DataFrame:
 
 
 def learn(
-    docs: DataFrame, labels: DataFrame, n_terms: int = 2048, max_rows: int = 30_000, min_docs: int = 5, seed: int = 3
+    docs: DataFrame, labels: DataFrame, n_terms: int = 2048, max_rows: int = 40_000, min_docs: int = 5, seed: int = 3
 ) -> tuple[TermFilter, FactorizationMachine] | None:
     """The chosen terms and the machine fitted on them."""
-    rows = labelled(docs, labels)
+    rows = labelled(docs, labels, max_rows, seed)
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad")).first()
     n, bad = total["n"], total["bad"] or 0
     if not n:
@@ -156,9 +162,6 @@ def learn(
             lists = pa.ListArray.from_arrays(pa.array(at), pa.array(numbers.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([block.column("toxic"), lists], ["toxic", "terms"])
 
-    if n > max_rows:
-        part = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_rows / n)
-        rows = rows.where(part)
     sample = rows.mapInArrow(reduce, "toxic int, terms array<int>").toPandas()
     order = np.argsort([hash(tuple(t)) for t in sample["terms"]], kind="stable")
     machine = FactorizationMachine(len(terms))

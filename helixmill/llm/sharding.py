@@ -44,7 +44,7 @@ def assign_shards(
     docs: DataFrame,
     shards: int = 24,
     seed: int = 17,
-    bucket_rows: int = 4096,
+    bucket_rows: int = 1024,
     id_column: str = "doc_id",
     text_column: str = "text",
     source_column: str = "source",

@@ -23,7 +23,7 @@ def _per_chunk(sequences: DataFrame, schema: str, rows_of) -> DataFrame:
     def run(batches):
         for batch in batches:
             out = []
-            for seq_id, _, _, lo, hi, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for seq_id, _, _, lo, hi, _, text in zip(*(c.to_pylist() for c in batch.columns)):
                 out += [(seq_id, *row) for row in rows_of(text, hi - lo, lo)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)

@@ -402,3 +402,34 @@ ORACLES["enrichment"] = f"""WITH {DNA}, {_shuffled(3)}, sq AS (SELECT origin_id
   n AS (SELECT seq_id, class, count(*) AS k FROM ob GROUP BY 1, 2 UNION ALL SELECT seq_id, 'Overall', count(*) FROM ob GROUP BY 1)
   SELECT a.seq_id, a.class, od AS observed_density, round(mean, 4) AS background_mean, round(std, 4) AS background_std, CASE WHEN mean > 0 THEN round(od / mean, 2) WHEN od > 0 THEN 100.0 ELSE 1.0 END AS fold_for_chart,
   round(p, 4) AS p_value, k AS observed_count, CASE WHEN round(p, 4) < 0.001 THEN '***' WHEN round(p, 4) < 0.01 THEN '**' WHEN round(p, 4) < 0.05 THEN '*' ELSE 'ns' END AS significance FROM a JOIN n ON n.seq_id = a.seq_id AND n.class = a.class"""
+
+
+# --- whole-sequence scores, contributing words, choices across classes ---------------------------
+def _inner(name: str, end: str) -> str:
+    """The oracle of a detector's motifs up to its selection, as CTEs; rows kept are in g and o."""
+    text = ORACLES[name].removeprefix("WITH RECURSIVE")
+    return text[: text.rindex(end)]
+
+
+ORACLES["detector_scores"] = f"""SELECT seq_id, 'Z-DNA' AS class, round(sum(score), 4) AS score FROM ({ORACLES['z_dna_regions']}) GROUP BY 1
+  UNION ALL SELECT seq_id, 'A-philic_DNA', round(sum(score), 4) FROM ({ORACLES['a_philic_regions'].replace('4) AS score', '6) AS score')}) GROUP BY 1
+  UNION ALL SELECT * FROM (WITH RECURSIVE {_inner('g4_motifs', 'SELECT o.seq_id')} SELECT seq_id, 'G-Quadruplex', round(sum(score), 4) FROM g JOIN o USING (seq_id, rn) WHERE kept GROUP BY 1)
+  UNION ALL SELECT * FROM (WITH RECURSIVE {_inner('r_loop_motifs', 'SELECT o.seq_id')} SELECT seq_id, 'R-Loop', round(least(sum(riz / 100.0 + zone / 100.0), 1.0), 4) FROM g JOIN o USING (seq_id, rn) WHERE kept GROUP BY 1)
+  UNION ALL SELECT * FROM (WITH RECURSIVE {_inner('imotif_motifs', 'SELECT o.seq_id')}, w AS (SELECT seq_id, sum(score * greatest(1.0, length / 10.0)) AS t FROM g JOIN o USING (seq_id, rn) WHERE kept GROUP BY 1),
+    v AS (SELECT seq_id FROM dna WHERE instr(bases, 'CCCCTCCCCTCCCCTCCCC') > 0 OR instr(bases, 'CCCCACCCCACCCCACCCC') > 0)
+    SELECT seq_id, 'i-Motif', round(CASE WHEN v.seq_id IS NOT NULL THEN 0.99 ELSE t END, 4) FROM w FULL JOIN v USING (seq_id))"""
+
+_KNOWN = [("IM_VAL_001", "CCCCTCCCCTCCCCTCCCC", "GGGGAGGGGAGGGGAGGGG", "Validated i-motif sequence 1", "Gehring 1993"), ("IM_VAL_002", "CCCCACCCCACCCCACCCC", "GGGGTGGGGTGGGGTGGGG", "Validated i-motif sequence 2", "Leroy 1995")]
+ORACLES["validated_i_motifs"] = f"WITH {DNA} " + " UNION ALL ".join(
+    f"""SELECT seq_id, '{i}' AS id, CAST(spot AS BIGINT) AS "start", CAST(spot + 18 AS BIGINT) AS "end", CASE WHEN instr(bases, '{w}') > 0 THEN '+' ELSE '-' END AS strand, '{d}' AS description, '{c}' AS citation
+  FROM (SELECT *, CASE WHEN instr(bases, '{w}') > 0 THEN instr(bases, '{w}') ELSE instr(bases, '{r}') END AS spot FROM dna) WHERE spot > 0""" for i, w, r, d, c in _KNOWN
+)
+ORACLES["contributing_tenmers"] = ORACLES["z_dna_regions"].rsplit("SELECT seq_id, min(pos)", 1)[0] + """SELECT seq_id, min(pos) OVER (PARTITION BY seq_id, island) AS region_start, pos AS "start", w AS tenmer, round(v, 4) AS score FROM g"""
+ORACLES["contributing_tenmers"] = ORACLES["contributing_tenmers"].replace("s AS (SELECT seq_id, pos,", "s AS (SELECT seq_id, pos, w,")
+ORACLES["resolve_across_classes"] = MOTIFS.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+  {_greedy('m', 'score DESC, length DESC, ord, "start"').replace('"start" - 1', '"start"')}
+  SELECT o.seq_id, o.class, o.subclass, o."start", o."end" FROM g JOIN o USING (seq_id, rn) WHERE kept"""
+ORACLES["merge_detector_results"] = f"{MOTIFS} SELECT class AS detector, class, count(*) AS n, CAST(sum(length) AS BIGINT) AS bases FROM m GROUP BY class"
+ORACLES["run_config"] = f"{MOTIFS} SELECT list_sort(list(DISTINCT class)) AS classes, count(DISTINCT seq_id) AS n_sequences, count(*) AS n_motifs FROM m"
+ORACLES["score_bins"] = f"""{MOTIFS}, u AS (SELECT class, CAST(round(score * 1000000) AS BIGINT) AS v FROM m), r AS (SELECT class, min(v) AS lo, max(v) AS hi FROM u GROUP BY class)
+  SELECT class, CAST(CASE WHEN hi > lo THEN least(floor((v - lo) / ((hi - lo) / 20)), 19) ELSE 0 END AS INTEGER) AS bin, count(*) AS n FROM u JOIN r USING (class) GROUP BY 1, 2"""

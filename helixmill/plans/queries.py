@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from helixmill.functions import scoring as S
 from helixmill.functions import sequence as Q
 from helixmill.operators import charts, composite, filters, report, stats
 from helixmill.operators import enrichment as E
+from helixmill.operators import summaries
 from helixmill.operators import motifs as M
 from helixmill.operators.islands import merge_intervals
 from helixmill.operators.overlap import select_non_overlapping
@@ -303,7 +306,50 @@ def _kmer_pairs(spark, sf):
     return kmer_pairs(dna(spark, sf), T.INVERTED_SEED, T.INVERTED_SEED, T.INVERTED_SEED + T.INVERTED_MAX_LOOP)
 
 
+def _detector_scores(*dets):
+    def run(spark, sf):
+        parts = [summaries.detector_scores(dna(spark, sf), det) for det in dets]
+        rows = reduce(DataFrame.unionByName, parts)
+        return rows.withColumn("score", F.round("score", 4))
+
+    return run
+
+
+def _contributing(spark, sf):
+    rows = summaries.contributing_tenmers(dna(spark, sf), T.Z_DNA)
+    return rows.withColumn("score", F.round("score", 4))
+
+
+def _strict(spark, sf):
+    m = probe_motifs(spark, sf)
+    kept = summaries.resolve_across_classes(m, order=[F.col("det_order"), F.col("start")])
+    return kept.select("seq_id", "class", "subclass", "start", "end")
+
+
+def _merged_results(spark, sf):
+    m = probe_motifs(spark, sf)
+    parts = {c: m.where(F.col("class") == c) for c in sorted({p[0] for p in PROBES})}
+    merged = summaries.merge_detector_results(parts, "hybrid")
+    return merged.groupBy("detector", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("bases"))
+
+
+def _composite_summary(spark, sf):
+    ranked = materialize(_ranked(probe_motifs(spark, sf).withColumn("score", F.col("length").cast("double"))))
+    pairs = composite.overlap_pairs(ranked, 0.3, 1.0, False)
+    pairs = pairs.select(F.lit(T.HYBRID).alias("class"), (F.col("end") - F.col("start")).alias("length"))
+    return summaries.composite_summary(pairs.unionByName(composite.clusters(ranked, "modular").select("class", "length")))
+
+
 QUERIES = {
+    "detector_scores": _detector_scores(T.Z_DNA, T.A_PHILIC, T.G4, T.R_LOOP, T.I_MOTIF),
+    "detector_scores_curved": _detector_scores(T.CURVED),
+    "validated_i_motifs": lambda s, d: summaries.validated_i_motifs(dna(s, d), reverse=True),
+    "contributing_tenmers": _contributing,
+    "resolve_across_classes": _strict,
+    "merge_detector_results": _merged_results,
+    "composite_summary": _composite_summary,
+    "run_config": _stat(stats.run_config),
+    "score_bins": _stat(lambda m: stats.histogram(m.withColumn("score", F.round(F.col("score") * 1_000_000).cast("long")), "score")),
     "seq_stats": _seq_stats,
     "sequence_flags": _sequence_flags,
     "fasta_lines": _fasta_lines,

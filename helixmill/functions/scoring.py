@@ -1,12 +1,13 @@
 """Motif scoring expressions over a sequence column.
 
 All scores are Columns. Runs of bases are taken with ``regexp_extract_all`` and folded with
-higher-order functions, so scoring stays in the JVM. Only two searches that have no such form
-(tandem instability, longest palindrome) are Arrow-batched functions.
+higher-order functions, so scoring stays in the JVM. Only three searches that have no such form
+(tandem instability, longest palindrome, direct repeats) are array functions in Arrow batches.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql.types import DoubleType
 
 from helixmill import tables as T
 from helixmill.functions.sequence import _col, count_of, percent
+from helixmill.operators.kernels import complement, to_bytes, true_runs
 
 
 def clamp(x: Column) -> Column:
@@ -160,68 +162,62 @@ def a_philic_score(seq) -> Column:
     return F.when(n < 6, F.lit(0.0)).otherwise(F.least(count_of(seq, "A") / n * 0.7 + bonus * 0.3, F.lit(1.0)))
 
 
-@F.pandas_udf(DoubleType())
-def instability_score(seq: pd.Series) -> pd.Series:
-    """copies * sqrt(unit) of the strongest tandem unit of 1..6 bases, at least three copies."""
-
-    def one(text):
-        best = 0.0
-        n = len(text)
-        for unit in range(1, min(7, n // 3)):
-            run = 0
-            for i in range(n - unit - 1, -1, -1):
-                run = run + 1 if text[i] == text[i + unit] else 0
-                if run >= 2 * unit and i < n - 2 * unit:
-                    best = max(best, (run // unit + 1) * unit**0.5)
-        return min(best / 10, 1.0) if n >= 6 else 0.0
-
-    return seq.map(one)
-
-
-@F.pandas_udf(DoubleType())
-def cruciform_stability(seq: pd.Series) -> pd.Series:
-    """length^1.5 / n of the longest perfect reverse palindrome of eight or more bases."""
-    pair = str.maketrans("ACGT", "TGCA")
-
-    def one(text):
-        n = len(text)
-        other = text.translate(pair)
-        best = 0
-        for centre in range(1, n):
-            if best >= 2 * min(centre, n - centre):
-                continue
-            half = 0
-            while half < min(centre, n - centre) and text[centre - 1 - half] == other[centre + half]:
-                half += 1
-            best = max(best, 2 * half)
-        for centre in range(n):  # odd lengths need a letter that pairs with itself, such as N
-            if text[centre] == other[centre]:
-                half = 0
-                while half < min(centre, n - centre - 1) and text[centre - 1 - half] == other[centre + 1 + half]:
-                    half += 1
-                best = max(best, 2 * half + 1)
-        return min(best**1.5 / n, 1.0) if n >= 8 and best >= 8 else 0.0
-
-    return seq.map(one)
-
-
-@F.pandas_udf(DoubleType())
-def direct_repeat_score(seq: pd.Series) -> pd.Series:
-    """Best unit / (1 + spacer) over direct repeats of unit 10..300 and spacer 0..10, over 50."""
-
-    def one(text):
-        n = len(text)
-        best = 0.0
-        for delta in range(10, min(310, n - 10) + 1):
-            run = 0
-            for i in range(n - delta - 1, -1, -1):
-                run = run + 1 if text[i] == text[i + delta] else 0
-                unit = min(run, delta, 300, (n - i - 10) // 2)
-                if unit >= max(10, delta - 10) and delta - unit < n - i - 2 * unit:
-                    best = max(best, unit / (1 + delta - unit))
-        return min(best / 50, 1.0)
-
-    return seq.map(one)
+def _per_text(one):
+    """A column function from ``one(bytes as numpy array) -> float``, by Arrow batches."""
+
+    def scores(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda text: one(to_bytes(text)))
+
+    return F.pandas_udf(scores, DoubleType())
+
+
+def _instability(raw: np.ndarray) -> float:
+    n, best = len(raw), 0.0
+    for unit in range(1, min(7, n // 3)):
+        starts, ends = true_runs(raw[:-unit] == raw[unit:])
+        longest = int((ends - starts).max(initial=0))
+        if longest >= 2 * unit:
+            best = max(best, (longest // unit + 1) * unit**0.5)
+    return min(best / 10, 1.0)
+
+
+def _palindrome(raw: np.ndarray) -> float:
+    n, best = len(raw), 0
+    other = complement(raw)
+    for odd in (0, 1):  # an odd length needs a middle letter that pairs with itself, such as N
+        left = np.arange(n - 1 + odd)
+        right = left + 1 - odd
+        half = 0
+        while len(left):
+            alike = raw[left] == other[right]
+            left, right = left[alike] - 1, right[alike] + 1
+            half += bool(len(left))
+            inside = (left >= 0) & (right < n)
+            left, right = left[inside], right[inside]
+        best = max(best, 2 * half - (odd if half else 0))
+    return min(best**1.5 / n, 1.0) if n >= 8 and best >= 8 else 0.0
+
+
+def _direct_repeat(raw: np.ndarray) -> float:
+    n, best = len(raw), 0.0
+    for delta in range(10, min(310, n - 10) + 1):
+        starts, ends = true_runs(raw[:-delta] == raw[delta:])
+        long = ends - starts >= max(10, delta - 10)
+        for start, end in zip(starts[long], ends[long]):
+            i = np.arange(start, end)
+            unit = np.minimum(np.minimum(end - i, min(delta, 300)), (n - i - 10) // 2)
+            unit = unit[(unit >= max(10, delta - 10)) & (delta + unit < n - i)]
+            if len(unit):
+                best = max(best, float(unit.max()) / (1 + delta - int(unit.max())))
+    return min(best / 50, 1.0)
+
+
+#: copies * sqrt(unit) of the strongest tandem unit of 1..6 bases, at least three copies
+instability_score = _per_text(_instability)
+#: length^1.5 / n of the longest perfect reverse palindrome of eight or more bases
+cruciform_stability = _per_text(_palindrome)
+#: best unit / (1 + spacer) over direct repeats of unit 10..300 and spacer 0..10, over 50
+direct_repeat_score = _per_text(_direct_repeat)
 
 
 # --- legacy scores --------------------------------------------------------------------------

@@ -25,6 +25,10 @@ def revcomp(text: str) -> str:
     return text.translate(_RC)[::-1]
 
 
+def complement(raw: np.ndarray) -> np.ndarray:
+    return _COMPLEMENT[raw]
+
+
 def true_runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Half-open [start, end) of every maximal run of True."""
     edge = np.diff(np.concatenate(([0], mask.view(np.int8), [0])))

@@ -184,3 +184,39 @@ def test_tandem_score_is_the_best_repeat_inside():
         copies = rng.randint(2, 14)
         if len(unit) * copies >= 10:
             assert abs(K.tandem_score(unit, copies) - search(unit * copies)) < 1e-12
+
+
+def test_array_scores_equal_plain_searches():
+    from helixmill.functions import scoring as S
+
+    def instability(s):
+        best = 0.0
+        for unit in range(1, min(7, len(s) // 3)):
+            for i in range(len(s) - 2 * unit):
+                copies = 1
+                while s[i + copies * unit : i + (copies + 1) * unit] == s[i : i + unit]:
+                    copies += 1
+                best = max(best, copies * unit**0.5 if copies >= 3 else 0)
+        return min(best / 10, 1.0) if len(s) >= 6 else 0.0
+
+    def palindrome(s):
+        best = max((j - i for i in range(len(s)) for j in range(i + 8, len(s) + 1) if s[i:j] == K.revcomp(s[i:j])), default=0)
+        return min(best**1.5 / len(s), 1.0) if best else 0.0
+
+    def direct(s):
+        n, best = len(s), 0.0
+        for unit in range(10, min(301, n // 2 + 1)):
+            for i in range(n - 2 * unit - 10 + 1):
+                for gap in range(min(11, n - i - 2 * unit)):
+                    if s[i + unit + gap : i + 2 * unit + gap] == s[i : i + unit]:
+                        best = max(best, unit / (1 + gap))
+        return min(best / 50, 1.0)
+
+    rng = random.Random(12)
+    for n in range(250):
+        text = random_dna(rng, rng.randint(1, 90), rng.choice(["ACGT", "AC", "ACGTN", "A"]))
+        text = text + random_dna(rng, rng.randint(0, 9)) + (text if n % 3 == 0 else K.revcomp(text) if n % 3 == 1 else "")
+        raw = K.to_bytes(text)
+        assert abs(S._instability(raw) - instability(text)) < 1e-12
+        assert abs(S._palindrome(raw) - palindrome(text)) < 1e-12
+        assert abs(S._direct_repeat(raw) - direct(text)) < 1e-12

@@ -54,6 +54,11 @@ def probe_motifs(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def motifs_once(spark: SparkSession, sf: str) -> DataFrame:
+    """The same motifs as a table, for queries that read them more than once: one scan of the texts."""
+    return materialize(probe_motifs(spark, sf))
+
+
 def _seq_stats(spark, sf):
     return stats.base_stats(dna(spark, sf))
 
@@ -152,12 +157,12 @@ def _ranked(m):
 
 
 def _hybrids(spark, sf):
-    pairs = composite.overlap_pairs(_ranked(probe_motifs(spark, sf)), 0.3, 1.0, False)
+    pairs = composite.overlap_pairs(_ranked(motifs_once(spark, sf)), 0.3, 1.0, False)
     return pairs.select("seq_id", "class_1", "class_2", "start", "end", F.round("mean_score", 6).alias("score"))
 
 
 def _legacy_hybrids(spark, sf):
-    pairs = composite.overlap_pairs(_ranked(probe_motifs(spark, sf)), 0.3, 0.7, True)
+    pairs = composite.overlap_pairs(_ranked(motifs_once(spark, sf)), 0.3, 0.7, True)
     return pairs.select("seq_id", "class_1", "class_2", "start", "end", F.round("mean_score", 6).alias("score"))
 
 
@@ -186,11 +191,11 @@ def _stat(fn):
 
 
 def _stat_len(fn, *args):
-    return lambda spark, sf: fn(probe_motifs(spark, sf), lengths(spark, sf), *args)
+    return lambda spark, sf: fn(motifs_once(spark, sf), lengths(spark, sf), *args)
 
 
 def _summary_table(spark, sf):
-    return stats.summary_table(dna(spark, sf), probe_motifs(spark, sf))
+    return stats.summary_table(dna(spark, sf), motifs_once(spark, sf))
 
 
 def _value_distribution(value):
@@ -204,7 +209,7 @@ def _value_distribution(value):
 def _source_summary(spark, sf):
     """The genome comparison with document sources as genomes."""
     names = dna(spark, sf).select("seq_id", F.col("source").alias("genome"), F.length("bases").alias("seq_len"))
-    m = probe_motifs(spark, sf).drop("seq_len").join(names.select("seq_id", "genome"), "seq_id")
+    m = motifs_once(spark, sf).drop("seq_len").join(names.select("seq_id", "genome"), "seq_id")
     s = stats.genome_summary(m, names, sorted({p[0] for p in PROBES}))
     return s.withColumn("motifs_per_kb", F.round("motifs_per_kb", 6)).toDF(*[c.replace("-", "_") for c in s.columns])
 
@@ -401,12 +406,12 @@ QUERIES = {
     "summary_table": _summary_table,
     "class_summary": _stat(stats.class_summary),
     "class_tree": _stat(stats.class_tree),
-    "subclass_breakdown": _stat(charts.subclass_breakdown),
+    "subclass_breakdown": lambda s, d: charts.subclass_breakdown(motifs_once(s, d)),
     "top_classes": _stat(charts.top_classes),
     "coverage_track": _stat_len(charts.coverage_track),
     "length_distribution": _value_distribution("length"),
     "score_distribution": _value_distribution("score"),
-    "score_histogram": _stat(lambda m: stats.histogram(m, "length")),
+    "score_histogram": lambda s, d: stats.histogram(motifs_once(s, d), "length"),
     "density_heatmap": _stat_len(stats.heatmap),
     "genome_summary": _source_summary,
     "scan_summary": _stat(lambda m: stats.scan_summary(m).withColumn("avg_score", F.round("avg_score", 6))),

@@ -433,3 +433,5 @@ ORACLES["merge_detector_results"] = f"{MOTIFS} SELECT class AS detector, class,
 ORACLES["run_config"] = f"{MOTIFS} SELECT list_sort(list(DISTINCT class)) AS classes, count(DISTINCT seq_id) AS n_sequences, count(*) AS n_motifs FROM m"
 ORACLES["score_bins"] = f"""{MOTIFS}, u AS (SELECT class, CAST(round(score * 1000000) AS BIGINT) AS v FROM m), r AS (SELECT class, min(v) AS lo, max(v) AS hi FROM u GROUP BY class)
   SELECT class, CAST(CASE WHEN hi > lo THEN least(floor((v - lo) / ((hi - lo) / 20)), 19) ELSE 0 END AS INTEGER) AS bin, count(*) AS n FROM u JOIN r USING (class) GROUP BY 1, 2"""
+ORACLES["composite_summary"] = f"""SELECT (SELECT count(*) FROM ({ORACLES['hybrid_pairs']})) AS n_hybrid, (SELECT count(*) FROM ({ORACLES['cluster_windows']})) AS n_cluster,
+  (SELECT CAST(coalesce(floor(avg(l)), 0) AS BIGINT) FROM (SELECT "end" - "start" AS l FROM ({ORACLES['hybrid_pairs']}) UNION ALL SELECT "end" - "start" FROM ({ORACLES['cluster_windows']}))) AS avg_length"""

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from helixmill.llm.text import blocks, flat_utf8
 from helixmill.llm.words import NOT_ALPHANUMERIC, word_hashes
@@ -186,9 +187,11 @@ def score(docs: DataFrame, model: tuple[TermFilter, FactorizationMachine] | None
 
 
 def with_score(docs: DataFrame, model: tuple[TermFilter, FactorizationMachine] | None, name: str = "_toxicity") -> DataFrame:
-    """The table ``docs`` with the score as one more column."""
+    """The table ``docs`` with the score as one more, last column."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.schema.add(name, "double")
+    while name in docs.columns:
+        name += "_"
+    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
 
     def run(batches):
         for block in blocks(batches):

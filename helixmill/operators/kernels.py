@@ -234,6 +234,49 @@ def direct_repeats(raw: np.ndarray, n_core: int):
     return np.stack((left[keep], unit[keep], (delta - unit)[keep]), 1)
 
 
+_PROBE = 24
+
+
+def _probe_codes(raw: np.ndarray) -> np.ndarray:
+    """Base-4 code of the _PROBE bases at each position."""
+    base = _BASE[raw].astype(np.int64)
+    n = max(0, len(raw) - _PROBE + 1)
+    code = np.zeros(n, np.int64)
+    for t in range(_PROBE):
+        code = code << 2 | base[t : t + n]
+    return code
+
+
+def _agreement(left: np.ndarray, right: np.ndarray) -> int:
+    """How many elements agree before the first difference, looking at ever larger blocks."""
+    at, block, n = 0, 64, min(len(left), len(right))
+    while at < n:
+        miss = np.flatnonzero(left[at : at + block] != right[at : at + block][: n - at])
+        if len(miss):
+            return at + int(miss[0])
+        at, block = at + block, 2 * block
+    return n
+
+
+def _long_runs(raw: np.ndarray, code: np.ndarray, d: int, need: int):
+    """Runs of at least ``need`` where the text equals itself ``d`` further on.
+
+    Such a run holds a whole probe on a grid of half its length, so a distance costs 2 n / need
+    comparisons, and all distances together n log n.
+    """
+    n = len(raw)
+    probe = np.arange(0, n - d - _PROBE + 1, need // 2)
+    last = 0
+    for p in probe[code[probe] == code[probe + d]].tolist():
+        if p < last:
+            continue
+        hi = p + _agreement(raw[p : n - d], raw[p + d :])
+        lo = p - _agreement(raw[last:p][::-1], raw[last + d : p + d][::-1])
+        last = hi
+        if hi - lo >= need:
+            yield lo, hi
+
+
 def spaced_repeats(raw: np.ndarray, least: int, most: int | None, gap: int) -> list[tuple[int, int]]:
     """Spans of unit, up to ``gap`` bases, same unit: leftmost, longest unit, widest gap first.
 
@@ -243,18 +286,19 @@ def spaced_repeats(raw: np.ndarray, least: int, most: int | None, gap: int) -> l
     n = len(raw)
     most = n if most is None else most
     unit, distance = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    code = None
     for d in range(least, min(most + gap, n - least) + 1):
         need = max(least, d - gap)
         if need > n - d:
             break
-        if need > 64:  # a run this long meets two neighbouring probes
-            probe = np.arange(0, n - d, need // 2)
-            hit = raw[probe] == raw[probe + d]
-            if not (hit[:-1] & hit[1:]).any():
-                continue
-        s, e = true_runs(raw[:-d] == raw[d:])
-        long = e - s >= need
-        for lo, hi in zip(s[long].tolist(), e[long].tolist()):
+        if need <= 2 * _PROBE + 16:
+            s, e = true_runs(raw[:-d] == raw[d:])
+            long = e - s >= need
+            runs = zip(s[long].tolist(), e[long].tolist())
+        else:
+            code = _probe_codes(raw) if code is None else code
+            runs = _long_runs(raw, code, d, need)
+        for lo, hi in runs:
             at = np.arange(lo, hi - need + 1)
             here = np.minimum(hi - at, min(d, most))
             better = here >= unit[at]

@@ -220,3 +220,28 @@ def test_array_scores_equal_plain_searches():
         assert abs(S._instability(raw) - instability(text)) < 1e-12
         assert abs(S._palindrome(raw) - palindrome(text)) < 1e-12
         assert abs(S._direct_repeat(raw) - direct(text)) < 1e-12
+
+
+@pytest.mark.parametrize("regex", ["([ATGC]{8,})(?:[ATGC]{0,9})\\1", "([ATGC]{10,})(?:[ATGC]{0,3})\\1"])
+def test_long_spaced_repeats_equal_the_back_reference(regex):
+    rng = random.Random(13)
+    for n in range(40):
+        parts = []
+        for _ in range(6):
+            unit = random_dna(rng, rng.choice([12, 70, 150, 400]))
+            parts += [random_dna(rng, rng.randint(0, 60)), unit, random_dna(rng, rng.randint(0, 10)), unit * rng.choice([1, 1, 3])]
+        text = "".join(parts)
+        assert matcher(regex)(text) == [m.span() for m in re.finditer(regex, text)]
+
+
+def test_spaced_repeats_in_long_text_are_not_quadratic():
+    import time
+
+    rng = random.Random(14)
+    seconds = []
+    for n in (40_000, 160_000):
+        raw = K.to_bytes(random_dna(rng, n))
+        began = time.process_time()
+        K.spaced_repeats(raw, 10, None, 10)
+        seconds.append(time.process_time() - began)
+    assert seconds[1] < 8 * max(seconds[0], 0.05)

@@ -116,8 +116,9 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRE
 
 
 def op2_decontamination(spark, sf):
-    """All documents against all benchmark items."""
-    return mark_contaminated(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet"))
+    """Every document that contains a benchmark item, with the item and the shingles it shares."""
+    docs, items = (spark.read.parquet(f"{sf}/{table}.parquet") for table in ("documents", "benchmark"))
+    return find_contamination(docs, items)
 
 
 def _sql_set(table: str, key: str) -> str:
@@ -132,9 +133,6 @@ def _sql_set(table: str, key: str) -> str:
 ORACLE = f"""
 WITH item AS ({_sql_set("benchmark", "item_id")}),
      doc AS ({_sql_set("documents", "doc_id")}),
-     size AS (SELECT item_id, count(*) AS n FROM item GROUP BY 1),
-     found AS (SELECT doc_id, item_id FROM doc JOIN item USING (shingle) JOIN size USING (item_id)
-               GROUP BY doc_id, item_id, n HAVING count(*) >= ceil(n * 0.75)),
-     mine AS (SELECT doc_id, count(*) AS n_items, min(item_id) AS first_item FROM found GROUP BY 1)
-SELECT d.doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, first_item
-FROM documents d LEFT JOIN mine USING (doc_id)"""
+     size AS (SELECT item_id, count(*) AS n FROM item GROUP BY 1)
+SELECT doc_id, item_id, n AS n_item, count(*) AS n_shared FROM doc JOIN item USING (shingle) JOIN size USING (item_id)
+GROUP BY doc_id, item_id, n HAVING count(*) >= ceil(n * 0.75)"""

@@ -18,6 +18,7 @@ from helixmill import catalogs, tables as T
 from helixmill.operators import kernels as K
 from helixmill.operators.chunks import CHUNK_LEN, CONTEXT, cut_sequence
 from helixmill.operators.overlap import fates, open_zone
+from helixmill.operators.plugins import pattern_rows
 
 CANDIDATE_SCHEMA = (
     "seq_id bigint, seq_name string, seq_len bigint, chunk_start bigint, chunk_end bigint, "
@@ -278,13 +279,14 @@ def matcher(regex: str):
     return search
 
 
-def scan_patterns(sequences: DataFrame, patterns: list[tuple]) -> DataFrame:
+def scan_patterns(sequences: DataFrame, patterns: DataFrame | list[tuple]) -> DataFrame:
     """Leftmost non-overlapping matches of a catalog over whole sequences.
 
-    ``patterns`` are (class, pattern_id, subclass, regex) rows, a few dozen at most; they travel
-    with the task closure. Catalog regexes may look arbitrarily far (back-references, unbounded
+    ``patterns`` are (class, pattern_id, subclass, regex) rows, as a list or as a catalog table, a
+    few dozen at most; they travel with the task closure. Catalog regexes may look arbitrarily far (back-references, unbounded
     classes), so the unit of work is one sequence. Returns 1-based inclusive coordinates.
     """
+    patterns = pattern_rows(patterns)
     schema = (
         "seq_id bigint, seq_name string, seq_len bigint, ord int, class string, pattern_id string, "
         "subclass string, start bigint, end bigint, sequence string"

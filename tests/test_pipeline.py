@@ -214,3 +214,37 @@ def test_motifs_do_not_depend_on_cuts(spark):
     for text in (palindrome, purine):
         whole = detected(spark, text, None)
         assert whole and all(detected(spark, text, n) == whole for n in (5000, 2500))
+
+
+def test_user_detectors_and_catalogs(spark, tmp_path):
+    import json
+    import re
+
+    from helixmill.operators.plugins import Detector, run_detector
+    from helixmill.operators.scan import scan_patterns
+
+    seqs = sequences_from_dict(spark, {"one": "TTACGACGTTTTACGT", "two": "GGGG"})
+    found = run_detector(seqs, Detector("ACG", lambda s: [(m.start(), m.end(), "plain", len(m[0]) / 6) for m in re.finditer("(ACG)+", s)]))
+    assert {(r.seq_name, r["class"], r.start, r.end, r.sequence) for r in found.collect()} == {("one", "ACG", 3, 8, "ACGACG"), ("one", "ACG", 13, 15, "ACG")}
+    path = tmp_path / "c.json"
+    path.write_text(json.dumps({"registries": {"Mine": {"patterns": [{"id": 7, "pattern": "T{4,}", "subclass": "T run", "score": 0.5}]}}}))
+    hits = scan_patterns(seqs, catalogs.from_json(spark, str(path))).collect()
+    assert [(r["class"], r.pattern_id, r.start, r.end) for r in hits] == [("Mine", "7", 9, 12)]
+
+
+def test_scores_and_choices(spark):
+    from helixmill.operators import summaries
+
+    known = "CCCCTCCCCTCCCCTCCCC"
+    seqs = sequences_from_dict(spark, {"a": "AT" + known + "GA", "b": "A" * 8 + "CC" + "T" * 9, "c": "GA" + "GGGGAGGGGAGGGGAGGGG"})
+    got = {r.seq_id: (r.start, r.end, r.strand) for r in summaries.validated_i_motifs(seqs, reverse=True).collect()}
+    ids = {r.seq_name: r.seq_id for r in seqs.collect()}
+    assert got == {ids["a"]: (3, 21, "+"), ids["c"]: (3, 21, "-")}
+    assert {r.seq_id: r.score for r in summaries.detector_scores(seqs, T.I_MOTIF).collect()}[ids["a"]] == 0.99
+    curved = {r.seq_id: r.score for r in summaries.detector_scores(seqs, T.CURVED).collect()}
+    assert curved[ids["b"]] == pytest.approx(8 / 14 + 9 / 15, abs=1e-5)
+    m = motif_table(spark, [("A", "a", 1, 20, 0.9), ("B", "b", 20, 40, 0.8), ("C", "c", 30, 50, 0.7)])
+    assert [r["class"] for r in summaries.in_order(summaries.resolve_across_classes(m)).collect()] == ["A", "B"]
+    assert summaries.resolve_across_classes(m, "hybrid").count() == 3
+    merged = summaries.merge_detector_results({"x": m.where("class = 'A'"), "y": m.where("class <> 'A'")})
+    assert {(r.detector, r["class"]) for r in merged.collect()} == {("x", "A"), ("y", "B")}

@@ -8,31 +8,25 @@ from pyspark.sql import functions as F
 from helixmill.session import materialize
 
 
-def _mark(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    return row["n"], row["h"]
-
-
 def components(links: DataFrame, first: str = "a", second: str = "b") -> DataFrame:
     """node and component (its smallest node) of every node that has a link.
 
     Each step keeps the number of links and halves distances, so a few steps do even for long
-    chains. A node with very many links is summed before the shuffle and joined back by a join
-    that can be split; nothing but a count and a checksum reaches the driver.
+    chains; it ends when every link leads to a node that leads nowhere. A node with very many links
+    is summed before the shuffle and joined back by a join that can be split; nothing but the
+    question whether a link is left to shorten reaches the driver.
     """
-    edges = links.select(F.greatest(first, second).alias("u"), F.least(first, second).alias("v")).where("u > v").distinct()
-    edges = materialize(edges)
-    mark = _mark(edges)
+    edges = links.select(F.greatest(first, second).alias("u"), F.least(first, second).alias("v")).where("u > v")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(down, "u").select("v", "m").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = joined.unionByName(down.select("u", F.col("m").alias("v"))).distinct()
-        edges, before = materialize(small), mark
-        mark = _mark(edges)
-        if mark == before:
+        edges = materialize(joined.unionByName(down.select("u", F.col("m").alias("v"))).distinct())
+        onward = edges.join(edges.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
+        forked = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("u")
+        if onward.select("u").unionByName(forked).head() is None:
             break
     roots = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -12,13 +12,13 @@ At similarity 0.75 a pair lies beyond the radius with a probability of about 4e-
    Documents with equal sets form a class; only one of a class goes on, so copies cost nothing.
 2. Index rows (key, class) are dealt by key; keys met once are dropped. A bucket is read as a
    stream: up to ``LEADERS`` members that are not very close to each other are held, and every
-   member within the radius of one is linked to the nearest. Each class keeps its best link.
+   member within the radius of one is linked to the nearest. Each class keeps its ``LINKS`` best.
 3. Links are confirmed on the full sets, made anew from the whole texts, by joins on both ends.
    Confirmed links give components.
 4. Buckets with a pair within the radius that still hold several components are opened again,
    large ones split into blocks that meet pairwise: first every member is tried against its
    nearest of another component, then, with the components that gave, all pairs that are left.
-   A longer signature of ``FINE`` slots of 4 bits, made with the sets, weeds out pairs far below
+   A pair is taken up in the first of the buckets it shares. A longer signature of ``FINE`` slots of 4 bits, made with the sets, weeds out pairs far below
    the threshold (a pair at 0.75 is lost with a probability of about 2e-5).
    So no close pair is lost, and groups of copies never become all their pairs.
 
@@ -47,7 +47,7 @@ WORDS = 5
 CHUNKS, CHUNK_SLOTS = 15, 4
 SLOTS = CHUNKS * CHUNK_SLOTS
 RADIUS = 2 * CHUNKS - 1
-LEADERS, CLOSE, BLOCK_ROWS = 64, 13, 2048
+LEADERS, CLOSE, LINKS, BLOCK_ROWS = 256, 13, 2, 2048
 FINE, FINE_RADIUS = 512, 161
 
 _RANDOM = np.random.default_rng(20240917)
@@ -167,8 +167,8 @@ def index_rows(classes: DataFrame) -> DataFrame:
 class Bucket:
     """One bucket read as a stream of members in order of their ids."""
 
-    def __init__(self, key: int):
-        self.key = key
+    def __init__(self, key: int, size: int):
+        self.key, self.pair = key, size == 2
         self.leaders, self.leader_ids = np.zeros((0, SLOTS), np.uint16), np.zeros(0, np.int64)
 
     def add(self, ids: np.ndarray, rows: np.ndarray, out: list) -> None:
@@ -193,22 +193,35 @@ class Bucket:
             at += 1
         linked = (best <= RADIUS) & (near != ids)
         lost = ~linked & ~chosen
-        out.append((self.key, near[linked], ids[linked], best[linked]))
-        out.append((self.key, np.full(lost.sum(), -1), ids[lost], np.full(lost.sum(), -1)))
+        out.append((self.key, near[linked], ids[linked], best[linked], self.pair))
+        out.append((self.key, np.full(lost.sum(), -1), ids[lost], np.full(lost.sum(), -1), self.pair))
+
+
+def first_shared(matrix: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Which of the SLOTS index keys is the first that each row of ``matrix`` shares with ``row``."""
+    equal = (matrix == row).reshape(-1, CHUNKS, CHUNK_SLOTS)
+    enough = equal.sum(axis=2) >= CHUNK_SLOTS - 1
+    chunk = enough.argmax(axis=1)
+    slots = equal[np.arange(len(equal)), chunk]
+    wrong = np.where(slots.all(axis=1), 0, (~slots).argmax(axis=1))
+    return np.where(enough.any(axis=1), chunk * CHUNK_SLOTS + wrong, -1)
 
 
 def links_in_buckets(members: DataFrame) -> DataFrame:
-    """key, a, b, apart: links to the nearest leader; a is null for a member that found no place.
+    """key, a, b, apart, pair: links to the nearest leader; a is null for a member that found no place.
 
-    ``members(key, rep, sig)`` must be sorted by key and rep within its partitions.
+    ``pair`` marks buckets of two, which have no more than their link. ``members(key, rep, n, sig)``,
+    n the size of the bucket, must be sorted by key and rep within its partitions.
     """
 
     def rows_of(out):
-        key = np.concatenate([np.zeros(0, np.int64), *[np.broadcast_to(k, len(b)) for k, _, b, _ in out]])
+        key = np.concatenate([np.zeros(0, np.int64), *[np.broadcast_to(o[0], len(o[2])) for o in out]])
+        pair = np.concatenate([np.zeros(0, bool), *[np.broadcast_to(o[4], len(o[2])) for o in out]])
         a, b, apart = (np.concatenate([np.zeros(0, np.int64), *[o[n] for o in out]]) for n in (1, 2, 3))
         missing = apart < 0
         return pa.RecordBatch.from_arrays(
-            [pa.array(key), pa.array(a, mask=missing), pa.array(b), pa.array(apart, mask=missing)], ["key", "a", "b", "apart"]
+            [pa.array(key), pa.array(a, mask=missing), pa.array(b), pa.array(apart, mask=missing), pa.array(pair)],
+            ["key", "a", "b", "apart", "pair"],
         )
 
     def run(batches):
@@ -216,7 +229,7 @@ def links_in_buckets(members: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys, ids = batch.column("key").to_numpy(), batch.column("rep").to_numpy()
+            keys, ids, sizes = (batch.column(c).to_numpy() for c in ("key", "rep", "n"))
             rows, out = as_matrix(batch.column("sig")), []
             heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
             ends = np.append(heads[1:], len(keys))
@@ -224,17 +237,17 @@ def links_in_buckets(members: DataFrame) -> DataFrame:
             pairs = heads[(ends - heads == 2) & (heads > 0) & (ends < len(keys))]
             apart = np.count_nonzero(rows[pairs] != rows[pairs + 1], axis=1)
             near = pairs[apart <= RADIUS]
-            out.append((keys[near], ids[near], ids[near + 1], apart[apart <= RADIUS]))
+            out.append((keys[near], ids[near], ids[near + 1], apart[apart <= RADIUS], True))
             done = set(pairs.tolist())
             for start, end in zip(heads.tolist(), ends.tolist()):
                 if start in done:
                     continue
                 if bucket is None or bucket.key != keys[start]:
-                    bucket = Bucket(int(keys[start]))
+                    bucket = Bucket(int(keys[start]), int(sizes[start]))
                 bucket.add(ids[start:end], rows[start:end], out)
             yield rows_of(out)
 
-    return members.mapInArrow(run, "key long, a long, b long, apart long")
+    return members.mapInArrow(run, "key long, a long, b long, apart long, pair boolean")
 
 
 def pairs_across(members: DataFrame, nearest: bool) -> DataFrame:
@@ -248,14 +261,17 @@ def pairs_across(members: DataFrame, nearest: bool) -> DataFrame:
 
         def compare():
             ids, part, comp, rows, fine = (np.concatenate(c) for c in zip(*held))
-            low, high = group[1], group[2]
+            key, low, high = group
+            own = int(np.flatnonzero(index_keys(rows[:1])[0] == key)[0])
             known = fine.any(axis=1)
             a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for n in range(len(ids)):
                 ahead = nearest or ids > ids[n] if low == high else (part != part[n] if nearest else part > part[n])
                 other = np.flatnonzero((comp != comp[n]) & ahead)
                 apart = distance(rows[other], rows[n])
-                other, apart = other[apart <= RADIUS], apart[apart <= RADIUS]
+                close = np.flatnonzero(apart <= RADIUS)
+                close = close[first_shared(rows[other[close]], rows[n]) == own]
+                other, apart = other[close], apart[close]
                 if known[n] and len(other):
                     further = np.where(known[other], np.count_nonzero(fine[other] != fine[n], axis=1), 0)
                     other, apart = other[further <= FINE_RADIUS], further[further <= FINE_RADIUS]
@@ -353,18 +369,17 @@ def near_duplicates(docs: DataFrame, share: int = 75, id_column: str = "doc_id",
     counted = F.count(F.lit(1)).over(Window.partitionBy("key"))
     company = materialize(index_rows(classes).withColumn("n", counted).where("n > 1"))
     signed = company.join(classes.select("rep", "sig"), "rep")
-    sorted_members = signed.select("key", "rep", "sig").repartition("key").sortWithinPartitions("key", "rep")
+    sorted_members = signed.select("key", "rep", "n", "sig").repartition("key").sortWithinPartitions("key", "rep")
     links = materialize(links_in_buckets(sorted_members))
     reps = texts.where("doc_id is not null")
     # a bucket of two has no more than its link, which is tried whatever better links there are
     best = Window.partitionBy("b").orderBy("apart", "a")
-    ranked = links.where("a is not null").join(company.select("key", "rep", "n"), (F.col("b") == F.col("rep")) & (links["key"] == company["key"]))
-    ranked = ranked.select("a", "b", "apart", "n").groupBy("a", "b").agg(F.min("apart").alias("apart"), F.min("n").alias("n"))
-    tried = materialize(ranked.withColumn("_best", F.row_number().over(best)).where("_best = 1 or n = 2").select("a", "b"))
-    sets = full_sets(reps, ends_of(links.where("a is not null").select("a", "b")))
+    pairs = materialize(links.where("a is not null").groupBy("a", "b").agg(F.min("apart").alias("apart"), F.max("pair").alias("pair")))
+    tried = materialize(pairs.withColumn("_best", F.row_number().over(best)).where(f"_best <= {LINKS} or pair").select("a", "b"))
+    sets = full_sets(reps, ends_of(pairs))
     first = confirm(tried, sets, share)
     linked = materialize(components(first))
-    keys = links.select("key").distinct()
+    keys = materialize(links.where("not pair").select("key").distinct())
     for nearest in (True, False):
         spread = members_of_open_buckets(company, keys, linked, classes, sets)
         more = materialize(pairs_across(spread, nearest).distinct().join(tried, ["a", "b"], "left_anti"))

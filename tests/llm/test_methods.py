@@ -207,3 +207,14 @@ def test_pipeline_runs_all_stages(spark):
     assert 100 < len(ids) < len(docs) and ids <= set(docs)
     kept = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame([(i, docs[i]) for i in ids], "doc_id long, text string")).collect()}
     assert all(i == c for i, c in kept.items())
+
+
+def test_first_shared_key_is_the_first_equal_one():
+    r = np.random.default_rng(2)
+    a = r.integers(0, 1 << 16, near_dedup.SLOTS, dtype=np.uint16)
+    rows = np.tile(a, (300, 1))
+    for row in rows:
+        row[r.choice(near_dedup.SLOTS, r.integers(0, 40), replace=False)] ^= np.uint16(3)
+    same = near_dedup.index_keys(rows) == near_dedup.index_keys(a[None])
+    want = np.where(same.any(axis=1), same.argmax(axis=1), -1)
+    assert near_dedup.first_shared(rows, a).tolist() == want.tolist()

@@ -317,7 +317,8 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def ends_of(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    left, right = (pairs.select(F.col(c).alias("id")).distinct() for c in ("a", "b"))
+    return left.unionByName(right).distinct()
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:

@@ -11,7 +11,7 @@ ids of the sample, bounded too, are broadcast to find its texts, so no text is s
 
 Cases: null or empty texts get the score of a document without terms; null labels and null ids are
 not learnt; a document labelled twice counts as toxic if one label says so; with nothing to learn
-from every score is 0; null ids stay null; repeated rows give repeated results; ties between terms
+from, or no term that tells, every score is 0; null ids stay null; repeated rows give repeated results; ties between terms
 go to the smaller hash; an empty table gives no rows; other columns are ignored.
 """
 
@@ -152,7 +152,7 @@ def learn(
     )
     terms = np.array([r["term"] for r in best.select("term").collect()], np.int64)
     if not len(terms):
-        terms = np.zeros(1, np.int64)
+        return None
     chosen = TermFilter(terms)
     shared = docs.sparkSession.sparkContext.broadcast(chosen)
 

@@ -185,7 +185,7 @@ def test_pairs_of_terms_are_learnt():
     r = np.random.default_rng(3)
     sets, labels = [], []
     for _ in range(4000):
-        a, b = r.random(2) < 0.5
+        a, b = (r.random(2) < 0.5).tolist()
         sets.append(np.array([0] * a + [1] * b + [2 + r.integers(6)], np.int64))
         labels.append(float(a == b))
     machine = toxicity.FactorizationMachine(8)

@@ -4,10 +4,15 @@ A document is the set of its hashed words. The machine adds a weight for each te
 of factor vectors for each pair of terms, so that two terms together can count for more (or less)
 than each alone. It is fitted on a bounded sample: the ``max_rows`` labelled documents with the
 smallest seeded hashes of their ids, each different text once, so that groups of copies do not
-vote many times. Spark counts terms over the sample and chooses them by a test of independence;
-the machine is fitted on the driver on the sample reduced to those terms. Scoring is one narrow
-pass over all texts with the broadcast machine, whose size is bounded by ``n_terms``. Only the
-ids of the sample, bounded too, are broadcast to find its texts, so no text is shuffled.
+vote many times. Spark counts terms over the sample and chooses those that tell: alone, by a test
+of independence, or together with another term, whatever each tells alone. For the second, the
+sample's term sets are broadcast, each task takes a slice of the terms and counts all their pairs;
+a pair tells if its share of toxic texts lies further from the shares of both its terms than
+chance would take any of all the pairs. The machine is fitted on the driver on the sample reduced
+to those terms. Scoring is one narrow pass over all texts with the broadcast machine, whose size
+is bounded by ``n_terms`` of each kind. Only the ids and term sets of the sample, bounded too, are
+broadcast, so no text is shuffled. Counting pairs is quadratic in the different terms of a
+sampled text, and does not grow with the table.
 
 Cases: null or empty texts get the score of a document without terms; null labels and null ids are
 not learnt; a document labelled twice counts as toxic if one label says so; with nothing to learn
@@ -27,6 +32,9 @@ from helixmill.llm.text import blocks, flat_utf8
 from helixmill.llm.words import NOT_ALPHANUMERIC, word_hashes
 from helixmill.session import materialize
 
+#: expected number of pairs that chance alone takes for telling ones
+FALSE_PAIRS = 0.01
+PAIR_CELLS = 1 << 20
 SCHEMA = "doc_id long, score double"
 
 
@@ -135,38 +143,109 @@ def term_counts(rows: DataFrame) -> DataFrame:
     return parts.groupBy("term").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
 
 
+def reduced(rows: DataFrame, chosen: TermFilter) -> tuple[list[np.ndarray], np.ndarray]:
+    """The sets of chosen term numbers and the labels of all rows, in an order that their sets give."""
+    shared = rows.sparkSession.sparkContext.broadcast(chosen)
+
+    def run(batches):
+        for block in blocks(batches):
+            owners, numbers = term_sets(block, shared.value)
+            at = np.searchsorted(owners, np.arange(1, block.num_rows))
+            sets = [part.astype(np.int32).tobytes() for part in np.split(numbers, at)]
+            yield pa.RecordBatch.from_arrays([block.column("toxic"), pa.array(sets, pa.binary())], ["toxic", "terms"])
+
+    found = sorted((bytes(r["terms"]), r["toxic"]) for r in rows.mapInArrow(run, "toxic int, terms binary").collect())
+    return [np.frombuffer(terms, np.int32) for terms, _ in found], np.array([toxic for _, toxic in found], float)
+
+
+def surprise(n: np.ndarray, bad: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Minus the logarithm of a bound on the chance to see ``bad`` of n or further off, each bad by ``share``."""
+    seen, share = bad / n, np.clip(share, 1e-6, 1 - 1e-6)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        up = np.where(seen > 0, seen * np.log(seen / share), 0)
+        return n * (up + np.where(seen < 1, (1 - seen) * np.log((1 - seen) / (1 - share)), 0))
+
+
+def telling_in_pairs(rows: DataFrame, terms: np.ndarray, n: np.ndarray, bad: np.ndarray, share: float, n_terms: int) -> np.ndarray:
+    """Of ``terms`` (ascending, with their counts) those in pairs that tell more than both terms do alone, best first."""
+    least = np.log(max(1.0, len(terms) * (len(terms) - 1) / 2) / FALSE_PAIRS)
+    able = n * -np.log(min(share, 1 - share)) >= least  # rarer terms reach that in no pair, whatever the labels
+    terms, n, bad = terms[able], n[able], bad[able]
+    if len(terms) < 2:
+        return terms[:0]
+    sets, labels = reduced(rows, TermFilter(terms))
+    size = np.array([len(s) for s in sets])
+    flat, heads = np.concatenate(sets), np.cumsum(size) - size
+    del sets
+    order = np.argsort(flat, kind="stable")
+    holders = np.repeat(np.arange(len(size), dtype=np.int32), size)[order]
+    del order
+    places = np.append(0, np.cumsum(np.bincount(flat, minlength=len(terms))))
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast((flat, heads, size, labels > 0, holders, places, bad / n))
+    del flat, holders
+
+    def run(batches):
+        flat, heads, size, toxic, holders, places, alone = shared.value
+        best = np.zeros(len(alone))
+
+        def partners(docs):
+            count, at = np.zeros(len(alone), np.int64), 0
+            ends = np.cumsum(size[docs])
+            while at < len(docs):
+                base = ends[at - 1] if at else 0
+                to = max(at + 1, int(np.searchsorted(ends, base + PAIR_CELLS, side="right")))
+                take = np.repeat(heads[docs[at:to]] - (ends[at:to] - size[docs[at:to]] - base), size[docs[at:to]])
+                count += np.bincount(flat[take + np.arange(len(take))], minlength=len(alone))
+                at = to
+            return count
+
+        for batch in batches:
+            for one in batch.column("id").to_pylist():
+                docs = holders[places[one] : places[one + 1]]
+                together = partners(docs)
+                other = np.flatnonzero(together[one + 1 :]) + one + 1
+                other = other[together[other] * -np.log(min(share, 1 - share)) >= least]
+                if not len(other):
+                    continue
+                together, both_bad = together[other], partners(docs[toxic[docs]])[other]
+                low, high = np.minimum(alone[other], min(alone[one], share)), np.maximum(alone[other], max(alone[one], share))
+                seen = both_bad / together
+                found = np.where((seen > high) | (seen < low), surprise(together, both_bad, np.where(seen > high, high, low)), 0)
+                np.maximum.at(best, other, found)
+                best[one] = max(best[one], found.max())
+        told = np.flatnonzero(best >= least)
+        yield pa.RecordBatch.from_arrays([pa.array(told), pa.array(best[told])], ["id", "told"])
+
+    parts = spark.range(0, len(terms), 1, 4 * spark.sparkContext.defaultParallelism).mapInArrow(run, "id long, told double")
+    best = parts.groupBy("id").agg(F.max("told").alias("told")).orderBy(F.desc("told"), "id").limit(n_terms)
+    told = [r["id"] for r in best.collect()]
+    shared.destroy()
+    return terms[told]
+
+
 def learn(
     docs: DataFrame, labels: DataFrame, n_terms: int = 2048, max_rows: int = 40_000, min_docs: int = 5, seed: int = 3
 ) -> tuple[TermFilter, FactorizationMachine] | None:
-    """The chosen terms and the machine fitted on them."""
+    """The terms that tell, alone or in pairs, and the machine fitted on them."""
     rows = labelled(docs, labels, max_rows, seed)
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad")).first()
     n, bad = total["n"], total["bad"] or 0
     if not n:
         return None
     share = (bad + 1) / (n + 2)
-    deviation = (F.col("bad") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
-    best = (
-        term_counts(rows).where(F.col("n") >= min_docs).withColumn("_z", F.abs(deviation)).where("_z >= 4")
-        .orderBy(F.desc("_z"), "term").limit(n_terms)
-    )
-    terms = np.array([r["term"] for r in best.select("term").collect()], np.int64)
+    counted = term_counts(rows).where(F.col("n") >= min_docs).collect()
+    each = np.array([(r["term"], r["n"], r["bad"]) for r in counted], np.int64).reshape(-1, 3)
+    each = each[np.argsort(each[:, 0])]
+    deviation = np.abs(each[:, 2] - each[:, 1] * share) / np.sqrt(each[:, 1] * share * (1 - share))
+    alone = np.argsort(-deviation, kind="stable")[:n_terms]
+    alone = each[alone[deviation[alone] >= 4], 0]
+    terms = np.union1d(alone, telling_in_pairs(rows, *each.T, share, n_terms))
     if not len(terms):
         return None
     chosen = TermFilter(terms)
-    shared = docs.sparkSession.sparkContext.broadcast(chosen)
-
-    def reduce(batches):
-        for block in blocks(batches):
-            owners, numbers = term_sets(block, shared.value)
-            at = np.searchsorted(owners, np.arange(block.num_rows + 1)).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(numbers.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([block.column("toxic"), lists], ["toxic", "terms"])
-
-    sample = rows.mapInArrow(reduce, "toxic int, terms array<int>").toPandas()
-    order = np.argsort([hash(tuple(t)) for t in sample["terms"]], kind="stable")
     machine = FactorizationMachine(len(terms))
-    machine.fit([np.asarray(sample["terms"].iat[n], np.int64) for n in order], sample["toxic"].to_numpy(float)[order])
+    machine.fit(*reduced(rows, chosen))
     return chosen, machine
 
 

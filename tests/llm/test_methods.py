@@ -194,6 +194,19 @@ def test_pairs_of_terms_are_learnt():
     assert ((machine.scores(rows, terms, 4000) >= 0.5) == np.array(labels)).mean() > 0.95
 
 
+def test_pairs_of_terms_reach_the_machine(spark):
+    """The same labels through learn() and score(): neither term tells alone, and both are rarer than many others."""
+    r, rows = random.Random(5), []
+    for n in range(3000):
+        a, b = r.random() < 0.5, r.random() < 0.5
+        words = ["insult"] * a + ["group"] * b + [f"w{k}" for k in range(40) if r.random() < 0.7]
+        rows.append((n, " ".join(words), int(a == b)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(3)
+    model = toxicity.learn(docs.where("doc_id < 2400").select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    found = toxicity.score(docs.select("doc_id", "text"), model).join(docs, "doc_id").where("doc_id >= 2400").collect()
+    assert sum((x.score >= 0.5) == bool(x.toxic) for x in found) / len(found) > 0.95
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = SF.replace("sf0.001", "sf0.01")
     found = toxicity.op9_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()

@@ -102,6 +102,13 @@ def test_checksums_and_context():
     assert pii.mask("mail a@b.co now", pii.find_spans("mail a@b.co now")) == "mail [EMAIL] now"
 
 
+@pytest.mark.parametrize("number", ["AT61 1904 3002 3457 3201", "ES9121000418450200051332", "AT611904300234573201", "GB82 WEST 1234 5698 7654 32"])
+@pytest.mark.parametrize("after", ["", " BIC", " I", " 12", " ABCD 1234", ", DE", " DE89 3704 0044 0532 0130 00"])
+def test_account_numbers_end_where_their_country_says(number, after):
+    found = [s[1:3] for s in pii.find_spans("account XX12 " + number + after) if s[0] == "iban"]
+    assert found[0] == (13, 13 + len(number)) and len(found) == 1 + ("DE89" in after)
+
+
 def near_tables(spark, seed=2):
     """Groups of near copies around the threshold, chains, hot passages and short texts."""
     r = random.Random(seed)

@@ -27,15 +27,17 @@ signatures in buckets with company, and sets of documents with a link. Nothing i
 
 Cases: texts that are null or have no words have no set and are linked with nothing; null ids are
 linked with nothing, have no component and count as kept; rows that repeat id and text are one
-document; a repeated id is no key, each row follows its own text; an empty table gives no rows;
-other columns are kept by ``drop_near_copies`` and ignored otherwise.
+document, of which ``drop_near_copies`` leaves one row; a repeated id is no key, each row follows
+its own text: classes are numbered by a hash of their set identity, and rows are found again by id
+and a hash of the text; an empty table gives no rows; other columns are kept by
+``drop_near_copies`` and ignored otherwise.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixmill.llm.components import components
@@ -130,7 +132,7 @@ def distance(matrix: np.ndarray, row: np.ndarray) -> np.ndarray:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, the identity (h1, h2) of the set and the signature (null without a set)."""
+    """doc_id, t, n_shingles, the identity (h1, h2) of the set and the signature (null without a set)."""
 
     def run(batches):
         for block in blocks(batches):
@@ -144,10 +146,10 @@ def describe(docs: DataFrame) -> DataFrame:
                     identity[0, n], identity[1, n] = sets[n].sum(dtype=np.uint64), mix(sets[n]).sum(dtype=np.uint64)
                     signed[n] = row.tobytes()
             size = np.array([len(s) for s in sets], np.int64)
-            columns = [block.column("doc_id"), pa.array(size), *[pa.array(i.view(np.int64)) for i in identity]]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(signed, pa.binary())], ["doc_id", "n_shingles", "h1", "h2", "sig"])
+            columns = [block.column("doc_id"), block.column("t"), pa.array(size), *[pa.array(i.view(np.int64)) for i in identity]]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(signed, pa.binary())], ["doc_id", "t", "n_shingles", "h1", "h2", "sig"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, sig binary")
+    return docs.mapInArrow(run, "doc_id long, t long, n_shingles long, h1 long, h2 long, sig binary")
 
 
 def index_rows(classes: DataFrame) -> DataFrame:
@@ -303,17 +305,20 @@ def pairs_across(members: DataFrame, nearest: bool) -> DataFrame:
     return members.mapInArrow(run, "a long, b long")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, set (sorted hashes) and fine signature of the documents in ``ids(id)``."""
+def full_sets(docs: DataFrame, ids: DataFrame, classes: DataFrame) -> DataFrame:
+    """id, set (sorted hashes) and fine signature of the classes in ``ids(id)``, from the row (doc_id, t) that stands for each."""
 
     def run(batches):
         for block in blocks(batches):
             sets = shingle_sets(block.column("text"))
-            columns = [block.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(fine_signatures(sets), pa.binary())]
+            columns = [block.column("id"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(fine_signatures(sets), pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "set", "fine"])
 
-    texts = docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select("doc_id", "text")
-    return materialize(texts.mapInArrow(run, "id long, set binary, fine binary"))
+    wanted = classes.join(ids.withColumnRenamed("id", "rep"), "rep", "left_semi").select(F.col("rep").alias("id"), "doc_id", "t", "repeated")
+    texts = docs.join(wanted, ["doc_id", "t"]).select("id", "repeated", "text")
+    once = texts.where("not repeated").select("id", "text")
+    again = texts.where("repeated").groupBy("id").agg(F.first("text").alias("text"))
+    return materialize(once.unionByName(again).mapInArrow(run, "id long, set binary, fine binary"))
 
 
 def ends_of(pairs: DataFrame) -> DataFrame:
@@ -359,13 +364,23 @@ def members_of_open_buckets(company: DataFrame, keys: DataFrame, linked: DataFra
     )
 
 
-def near_duplicates(docs: DataFrame, share: int = 75, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row."""
-    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+def text_hash(column: str = "text") -> Column:
+    return F.xxhash64(F.col(column).cast("string"))
+
+
+def placed_rows(docs: DataFrame, share: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """doc_id, t (a hash of the text), n_shingles, component_id and kept of every row.
+
+    Of a component the class with the smallest id is kept, and of that the row with that id and the smallest t.
+    """
+    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"), text_hash(text_column).alias("t"))
     known = materialize(describe(texts))
     identity = ["h1", "h2", "n_shingles"]
     usable = known.where("sig is not null and doc_id is not null")
-    classes = materialize(usable.groupBy(*identity).agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
+    stands = F.min(F.struct("doc_id", "t"))
+    found = usable.groupBy(*identity).agg(stands.alias("s"), F.count(F.lit(1)).alias("rows"), F.first("sig").alias("sig"))
+    # a class of several rows may have its id and text more than once
+    classes = materialize(found.select(*identity, F.xxhash64(*identity).alias("rep"), "s.doc_id", "s.t", (F.col("rows") > 1).alias("repeated"), "sig"))
 
     counted = F.count(F.lit(1)).over(Window.partitionBy("key"))
     company = materialize(index_rows(classes).withColumn("n", counted).where("n > 1"))
@@ -377,7 +392,7 @@ def near_duplicates(docs: DataFrame, share: int = 75, id_column: str = "doc_id",
     best = Window.partitionBy("b").orderBy("apart", "a")
     pairs = materialize(links.where("a is not null").groupBy("a", "b").agg(F.min("apart").alias("apart"), F.max("pair").alias("pair")))
     tried = materialize(pairs.withColumn("_best", F.row_number().over(best)).where(f"_best <= {LINKS} or pair").select("a", "b"))
-    sets = full_sets(reps, ends_of(pairs))
+    sets = full_sets(reps, ends_of(pairs), classes)
     first = confirm(tried, sets, share)
     linked = materialize(components(first))
     keys = materialize(links.where("not pair").select("key").distinct())
@@ -386,26 +401,51 @@ def near_duplicates(docs: DataFrame, share: int = 75, id_column: str = "doc_id",
         more = materialize(pairs_across(spread, nearest).distinct().join(tried, ["a", "b"], "left_anti"))
         unknown = materialize(ends_of(more).join(sets.select("id"), "id", "left_anti"))
         if unknown.head() is not None:
-            sets = sets.unionByName(full_sets(reps, unknown))
+            sets = sets.unionByName(full_sets(reps, unknown, classes))
         found = confirm(more, sets, share)
         tried = tried.unionByName(more)
         if found.head() is not None:
             first = first.unionByName(found)
             linked = materialize(components(first))
 
-    placed = classes.select(*identity, "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
-    placed = placed.select(*identity, F.coalesce("component", "rep").alias("component_id"))
+    owners = linked.join(classes.select(F.col("rep").alias("node"), "doc_id", "t"), "node")
+    owners = owners.groupBy("component").agg(F.min(F.struct("doc_id", "t")).alias("owner"))
+    owned = linked.join(owners, "component").select(F.col("node").alias("rep"), "owner")
+    placed = classes.join(owned, "rep", "left").select(*identity, F.coalesce("owner", F.struct("doc_id", "t")).alias("owner"))
     found = known.join(placed, identity, "left")
-    component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
-    )
+    usable = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    component = F.when(usable, F.col("owner.doc_id")).when(F.col("n_shingles") == 0, F.col("doc_id"))
+    kept = ~usable | ((F.col("doc_id") == F.col("owner.doc_id")) & (F.col("t") == F.col("owner.t")))
+    return found.select("doc_id", "t", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, share: int = 75, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row."""
+    return placed_rows(docs, share, id_column, text_column).drop("t")
 
 
 def drop_near_copies(docs: DataFrame, share: int = 75) -> DataFrame:
     """The rows of ``docs(doc_id, text, ...)`` that are kept, with all their columns."""
-    gone = near_duplicates(docs, share).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    names = docs.columns
+    placed = materialize(placed_rows(docs, share))
+    gone = placed.where("not kept").select("doc_id", "t").distinct()
+    counted = placed.where("kept and doc_id is not null and n_shingles > 0").groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("n"))
+    repeated = materialize(counted.where("n > 1").select("doc_id", "t"))
+    hashed, own = "_t", "_doc_id"
+    while {hashed, own} & set(names):
+        hashed, own = hashed + "_", own + "_"
+    rows = docs.withColumns({own: F.col("doc_id").cast("long"), hashed: text_hash()})
+
+    def met(keys):
+        return keys.select(F.col("doc_id").alias(own), F.col("t").alias(hashed))
+
+    rows = rows.join(met(gone), [own, hashed], "left_anti")
+    if repeated.head() is None:
+        return rows.select(*names)
+    once = rows.join(met(repeated), [own, hashed], "left_anti")
+    again = rows.join(F.broadcast(met(repeated)) if repeated.count() < 10_000 else met(repeated), [own, hashed], "left_semi")
+    firsts = again.groupBy(own, hashed).agg(F.first(F.struct(*names)).alias("_row")).select("_row.*")
+    return once.select(*names).unionByName(firsts)
 
 
 def op1_near_dedup(spark, sf):

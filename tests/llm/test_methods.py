@@ -163,6 +163,20 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, small):
     assert all(r.n_shingles == len(sets[r.doc_id]) and r.kept == (r.doc_id == r.component_id) for r in found)
 
 
+def test_repeated_ids_follow_their_texts(spark):
+    """An id on a unique text and on a copy, two ids on texts of two components, and a row repeated often."""
+    word = lambda seed: [f"w{seed}_{n}" for n in range(60)]
+    changed = lambda words: " ".join([*words[:-1], "other"])
+    a, b, c, d, e = (word(n) for n in range(5))
+    rows = [(3, " ".join(a), 1), (5, " ".join(a), 2), (5, " ".join(b), 3), (7, " ".join(c), 4), (7, " ".join(d), 5), (8, changed(c), 6), (9, changed(d), 7)]
+    rows += [(2, " ".join(e), 8)] * 20 + [(2, changed(e), 9), (1, changed(b), 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row long").repartition(4)
+    found = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs).collect()}
+    assert {x[:1] + x[2:] for x in found if x[0] in (3, 5, 1)} == {(3, 3, True), (5, 3, False), (5, 1, False), (1, 1, True)}
+    left = sorted(r.row for r in near_dedup.drop_near_copies(docs).collect())
+    assert left in ([1, 4, 5, 8, 10], [1, 4, 5, 9, 10])
+
+
 def test_index_finds_every_pair_within_the_radius():
     r = np.random.default_rng(1)
     for _ in range(200):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from helixmill.llm import decontaminate, fill_in_middle, language, near_dedup, packing, pii, sharding, token_counts, topk, toxicity, warc
+from helixmill.llm import decontaminate, fill_in_middle, language, near_dedup, packing, pii, sharding, token_counts, token_files, topk, toxicity, warc
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         pii.op8_pii,
         toxicity.op9_toxicity,
         topk.op10_topk,
+        token_files.op11_token_files,
         fill_in_middle.op12_fill_in_middle,
     )
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from helixmill.llm import decontaminate, fill_in_middle, language, near_dedup, packing, pii, sharding, token_counts, token_files, topk, toxicity, warc
+from helixmill.llm import decontaminate, fill_in_middle, language, near_dedup, packing, pii, sharding, token_alignment, token_counts, token_files, topk, toxicity, warc
 
 QUERIES = {
     f.__name__: f
@@ -19,6 +19,7 @@ QUERIES = {
         topk.op10_topk,
         token_files.op11_token_files,
         fill_in_middle.op12_fill_in_middle,
+        token_alignment.op13_alignment,
     )
 }
 ORACLES = {"op2_decontamination": decontaminate.ORACLE, "op10_topk": topk.ORACLE, "op12_fill_in_middle": fill_in_middle.ORACLE}

@@ -3,11 +3,12 @@
 Both tokenizers are byte-preserving on most texts, so their tokens are intervals of the same bytes.
 Every stretch between two neighbouring token ends (of either side) lies in exactly one token of
 each: it is one link. Ends that both sides share cut the tokens into groups. Neither tokenizer
-joins anything across the gap between a sign and a blank after it, so a text is a row of words with
-their leading white space; each different word of a task is encoded and aligned once.
+joins anything across the gap between a sign and a blank or line feed after it, so a text is a row
+of words with their leading white space; each different word of a block is encoded and aligned once,
+all words of the block at the same time.
 
-1. First pass: words are counted per task and text, and turned into pairs of ids with the number of
-   their links. A task hands over sums, not links.
+1. First pass: links of a block, times the places of their words, are summed per pair of ids. A task
+   hands over sums, not links.
 2. The distinct pairs are dealt by a mixing hash into buckets of about ``bucket_pairs``. For each
    bucket a task builds a minimal perfect hash: levels of bit arrays in which a pair that meets no
    other takes its bit, and the rest go one level down; the rank of the bit is the pair's number.
@@ -22,8 +23,8 @@ bounds the only data sent along with the second pass, next to one path.
 
 Scale: no text is shuffled, only per-task sums. Pairs are limited by which entries of the two
 vocabularies can overlap, not by the corpus. A frequent pair is summed in the task before it
-travels; a frequent bucket does not exist, as buckets hold distinct pairs. Tasks hold a bounded
-word cache.
+travels; a frequent bucket does not exist, as buckets hold distinct pairs. Tasks hold a block of 16 MB
+of text (or one text) with its tokens and at most ``HELD_PAIRS`` sums.
 
 Cases: null or empty text, and text that one side does not give back byte by byte (a literal
 U+2581, or bytes that are no UTF-8 and count as U+FFFD on both sides: those are aligned as such)
@@ -33,8 +34,6 @@ they come; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import json
-import re
 import uuid
 from collections import OrderedDict
 from functools import lru_cache
@@ -43,21 +42,24 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixmill.llm.text import blocks
+from helixmill.llm.packing import ragged
+from helixmill.llm.spaced import SpacedWords
+from helixmill.llm.text import blocks, flat_utf8
 from helixmill.llm.token_counts import byte_symbols
 from helixmill.llm.warc import storage
 from helixmill.session import materialize, shared_folder
 
 BUCKET_PAIRS = 1 << 16
 OPEN_BUCKETS = 256
-CACHE_BYTES = 96 << 20
+BLOCK_BYTES = 1 << 24
+HELD_PAIRS = 1 << 22
 GAMMA = 2.0
-GAP = re.compile(r"(?<=\S)(?= )")
 PAIRS = "pair long, n long"
 VECTORS = "bucket int, member int, counts binary"
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
@@ -68,131 +70,179 @@ ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best
 
 @lru_cache(2)
 def _tokenizers(first: str, second: str):
-    """Encoders of both sides with the bytes of each entry."""
+    """Encoders of both sides, with the bytes of each entry end to end and their sizes."""
     import sentencepiece
+    import tiktoken
     from tokenizers import Tokenizer
 
-    a = Tokenizer.from_file(first)
-    a.encode_special_tokens = True
+    library = Tokenizer.from_file(first)
+    special = {t.content for t in library.get_added_tokens_decoder().values()}
     byte_of = {sign: n for n, sign in enumerate(byte_symbols())}
-    with open(first, encoding="utf-8") as file:
-        vocabulary = json.load(file)["model"]["vocab"]
-    a_bytes = [b""] * (max(vocabulary.values()) + 1)
-    for entry, n in vocabulary.items():
-        if all(c in byte_of for c in entry):
-            a_bytes[n] = bytes(byte_of[c] for c in entry)
+    ranks = {bytes(byte_of[c] for c in entry): n for entry, n in library.get_vocab(with_added_tokens=False).items() if entry not in special}
+    a = tiktoken.Encoding("first", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     b = sentencepiece.SentencePieceProcessor(model_file=second)
-    b_bytes = []
-    for n in range(b.vocab_size()):
-        piece = b.id_to_piece(n)
-        b_bytes.append(bytes([int(piece[3:5], 16)]) if b.is_byte(n) else piece.replace("▁", " ").encode())
-    return a, a_bytes, b, b_bytes
+    a_bytes = [b""] * (max(ranks.values()) + 1)
+    for entry, n in ranks.items():
+        a_bytes[n] = entry
+    pieces = [(n, b.id_to_piece(n)) for n in range(b.vocab_size())]
+    b_bytes = [bytes([int(piece[3:5], 16)]) if b.is_byte(n) else piece.replace("▁", " ").encode() for n, piece in pieces]
+    return a, _entries(a_bytes), b, _entries(b_bytes)
 
 
-class Words:
-    """Different words of a task: their tokens on both sides, links, groups, and whether they are usable.
+def _entries(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    sizes = np.array([len(p) for p in parts], np.int64)
+    return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(sizes) - sizes, sizes
 
-    Every word begins with a blank; the second tokenizer adds one itself, so it is given the rest.
+
+class Side:
+    """Tokens of one side for the words of a block: ids, sizes in bytes, and the word each belongs to."""
+
+    def __init__(self, found: list, entries: tuple):
+        self.entries, counts = entries, np.fromiter(map(len, found), np.int64, len(found))
+        self.ids = np.fromiter(chain.from_iterable(found), np.int64, int(counts.sum()))
+        self.word = np.repeat(np.arange(len(found)), counts)
+        self.sizes = entries[2][self.ids]
+        self.counts = counts
+
+    def keep(self, usable: np.ndarray) -> None:
+        kept = usable[self.word]
+        self.ids, self.word, self.sizes = self.ids[kept], self.word[kept], self.sizes[kept]
+        self.counts = np.where(usable, self.counts, 0)
+
+    def data(self) -> np.ndarray:
+        return self.entries[0][ragged(self.entries[1][self.ids], self.sizes)]
+
+
+class AlignedWords:
+    """The different words of a block of texts, aligned: all tokens lie end to end over the same bytes.
+
+    A word that a side does not give back byte by byte is not usable, and neither is a text with it.
+    The second tokenizer adds a blank by itself: words that begin with one are given to it without,
+    of the others (they begin with a line feed) its added blank is taken off again.
     """
 
-    def __init__(self, first: str, second: str):
-        self.a, self.a_bytes, self.b, self.b_bytes = _tokenizers(first, second)
-        self.clear()
-
-    def clear(self) -> None:
-        self.number, self.size = {}, 0
-        self.n_a, self.n_b, self.n_groups, self.usable, self.pairs, self.groups = [], [], [], [], [], []
-
-    def learn(self, words: set[str]) -> None:
-        new = sorted(words.difference(self.number))
-        if not new:
-            return
-        left = [e.ids for e in self.a.encode_batch(new, add_special_tokens=False)]
-        right = self.b.encode([w[1:] for w in new], num_threads=1)
-        blank = self.b.piece_to_id("▁")
-        for word, a, b in zip(new, left, right):
-            b = b if len(word) > 1 else [blank]
-            self.number[word] = len(self.usable)
-            self._align(word.encode(), a, b)
-            self.size += 8 * len(word) + 24 * (len(a) + len(b)) + 400
-
-    def _align(self, data: bytes, a: list[int], b: list[int]) -> None:
-        a_parts, b_parts = [self.a_bytes[n] for n in a], [self.b_bytes[n] for n in b]
-        usable = b"".join(a_parts) == data and b"".join(b_parts) == data
-        a, b = (a, b) if usable else ([], [])
-        a_ends, b_ends = np.cumsum([len(p) for p in a_parts[: len(a)]], dtype=np.int64), np.cumsum([len(p) for p in b_parts[: len(b)]], dtype=np.int64)
-        ends = np.union1d(a_ends, b_ends)
-        shared = np.intersect1d(a_ends, b_ends, assume_unique=True)
-        ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
-        self.usable.append(usable)
-        self.n_a.append(len(a))
-        self.n_b.append(len(b))
-        self.n_groups.append(len(shared))
-        self.pairs.append(ids_a[np.searchsorted(a_ends, ends)] << 32 | ids_b[np.searchsorted(b_ends, ends)])
-        cut_a, cut_b = np.searchsorted(a_ends, shared) + 1, np.searchsorted(b_ends, shared) + 1
-        text, at, bt = [], 0, 0
-        for to, bto in zip(cut_a.tolist(), cut_b.tolist()):
-            text.append(",".join(map(str, a[at:to])) + "|" + ",".join(map(str, b[bt:bto])))
-            at, bt = to, bto
-        self.groups.append(";".join(text))
-
-
-def words_of(text: str | None) -> list[str]:
-    """Blank plus text, cut before every blank that follows a sign; empty text has no words."""
-    return GAP.split(" " + text) if text else []
-
-
-class Block:
-    """The words of a block of texts as numbers, and which texts are usable as a whole."""
-
-    def __init__(self, words: Words, texts: list[str | None]):
-        parts = [words_of(t) for t in texts]
-        flat = list(chain.from_iterable(parts))
-        words.learn(set(flat))
-        self.numbers = np.fromiter(map(words.number.__getitem__, flat), np.int64, len(flat))
-        self.at = np.concatenate(([0], np.cumsum([len(p) for p in parts], dtype=np.int64)))
-        bad = ~np.array(words.usable, bool)[self.numbers] if len(flat) else np.zeros(0, bool)
-        self.usable = (self.sums(bad.astype(np.int64)) == 0) & (np.diff(self.at) > 0)
-
-    def sums(self, values: np.ndarray) -> np.ndarray:
-        """Sum of a value of each word, per text."""
-        running = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))
-        return running[self.at[1:]] - running[self.at[:-1]]
+    def __init__(self, texts: pa.Array, first: str, second: str):
+        a, a_entries, b, b_entries = _tokenizers(first, second)
+        self.words = SpacedWords(texts)
+        distinct = self.words.distinct.to_pylist()
+        left = [a.encode_ordinary(w) for w in distinct]
+        right = b.encode([w[1:] if w[0] == " " else w for w in distinct], num_threads=1)
+        blank = b.piece_to_id("▁")
+        for n, word in enumerate(distinct):
+            if word[0] != " ":
+                right[n] = right[n][1:] if right[n][:1] == [blank] else []
+            elif len(word) == 1:
+                right[n] = [blank]
+        self.a, self.b = Side(left, a_entries), Side(right, b_entries)
+        data, bounds = flat_utf8(self.words.distinct)
+        self.usable = self._same_bytes(data, bounds)
+        for side in (self.a, self.b):
+            side.keep(self.usable)
+        self._link()
+        bad = self.words.sums((~self.usable).astype(np.int64)) > 0
+        self.text_usable = ~bad & (np.diff(self.words.at) > 0)
+
+    def _same_bytes(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        sizes = np.diff(bounds)
+        same = np.ones(len(sizes), bool)
+        for side in (self.a, self.b):
+            same &= np.bincount(side.word, side.sizes, len(sizes)).astype(np.int64) == sizes
+        for side in (self.a, self.b):
+            side.keep(same)
+            wrong = side.data() != data[np.repeat(same, sizes)]
+            owner = np.repeat(np.flatnonzero(same), sizes[same])
+            same[owner[wrong]] = False
+        return same
+
+    def _link(self) -> None:
+        """One link per stretch between neighbouring ends of either side; a group per end both share."""
+        n, a_ends, b_ends = len(self.usable), np.cumsum(self.a.sizes), np.cumsum(self.b.sizes)
+        marks = np.zeros(int(a_ends[-1]) + 1 if len(a_ends) else 1, np.uint8)
+        marks[a_ends] |= 1
+        marks[b_ends] |= 2
+        ends = np.flatnonzero(marks)
+        at_a, at_b, both = (marks[ends] & 1).astype(bool), (marks[ends] & 2).astype(bool), marks[ends] == 3
+        in_a, in_b = np.cumsum(at_a) - at_a, np.cumsum(at_b) - at_b
+        self.pairs = self.a.ids[in_a] << 32 | self.b.ids[in_b]
+        self.owner = self.a.word[in_a]
+        self.n_links = np.bincount(self.owner, minlength=n)
+        self.n_groups = np.bincount(self.owner[both], minlength=n)
+        groups = np.cumsum(both) - both
+        self.group_of_a, self.group_of_b = groups[at_a], groups[at_b]
+
+    def texts_with(self) -> np.ndarray:
+        """How often each word stands in usable texts."""
+        return np.bincount(self.words.which[np.repeat(self.text_usable, np.diff(self.words.at))], minlength=len(self.usable))
+
+    def groups(self) -> pa.Array:
+        """The groups of each word as text: a1,a2|b1;a3|b2,b3."""
+        total = int(self.group_of_a[-1]) + 1 if len(self.group_of_a) else 0
+        a_in, b_in = np.bincount(self.group_of_a, minlength=total), np.bincount(self.group_of_b, minlength=total)
+        # the tokens of a group's first side stand before those of its second
+        place_a = np.arange(len(self.group_of_a)) + (np.cumsum(b_in) - b_in)[self.group_of_a]
+        place_b = np.arange(len(self.group_of_b)) + np.cumsum(a_in)[self.group_of_b]
+        ids, marks = np.empty(len(place_a) + len(place_b), np.int64), np.full(len(place_a) + len(place_b), 44, np.uint8)
+        ids[place_a], ids[place_b] = self.a.ids, self.b.ids
+        last_b = np.cumsum(a_in + b_in) - 1
+        marks[last_b - b_in], marks[last_b] = ord("|"), ord(";")
+        digits = np.searchsorted(10 ** np.arange(1, 19), ids, side="right") + 1
+        ends = np.cumsum(digits + 1)
+        text, rest, live, step = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8), ids.copy(), np.arange(len(ids)), 2
+        text[ends - 1] = marks
+        while len(live):
+            text[ends[live] - step] = 48 + rest[live] % 10
+            rest[live] //= 10
+            live, step = live[digits[live] >= step], step + 1
+        # where each word's text ends: after the mark of its last group, which is left out
+        word_groups = np.cumsum(self.n_groups)
+        group_ends = np.concatenate(([0], ends[last_b]))
+        stops = group_ends[word_groups]
+        starts = np.concatenate(([0], stops[:-1]))
+        keep = np.ones(len(text), bool)
+        keep[stops[stops > starts] - 1] = False
+        kept = np.concatenate(([0], np.cumsum(keep)))
+        offsets = np.concatenate(([0], kept[stops])).astype(np.int64)
+        return pa.LargeStringArray.from_buffers(len(self.usable), pa.py_buffer(offsets), pa.py_buffer(text[keep].tobytes()))
 
 
 def _chosen(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.make_valid_utf8(F.col(text_column).cast("string")).alias("text"))
 
 
+def _added(pairs: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each different pair with the sum of its numbers."""
+    order = np.argsort(pairs, kind="stable")
+    pairs, n = pairs[order], n[order]
+    heads = np.flatnonzero(np.diff(pairs, prepend=-1))
+    return pairs[heads], np.add.reduceat(n, heads) if len(heads) else n
+
+
 def pair_sums(docs: DataFrame, first: str, second: str) -> DataFrame:
     """pair (first id in the upper 32 bits) and n, the number of its links seen by a task; pairs repeat across tasks."""
 
     def run(batches):
-        words, seen = Words(first, second), np.zeros(0, np.int64)
-
-        def sums():
-            used = np.flatnonzero(seen)
-            links = [words.pairs[n] for n in used.tolist()]
-            pairs = np.concatenate(links) if links else np.zeros(0, np.int64)
-            times = np.repeat(seen[used], [len(x) for x in links])
-            different, where = np.unique(pairs, return_inverse=True)
-            total = np.zeros(len(different), np.int64)
-            np.add.at(total, where, times)
-            return pa.RecordBatch.from_arrays([pa.array(different), pa.array(total)], ["pair", "n"])
-
-        for part in blocks(batches):
-            if words.size > CACHE_BYTES:
-                yield sums()
-                words.clear()
-                seen = np.zeros(0, np.int64)
-            block = Block(words, part.column("text").to_pylist())
-            seen = np.concatenate((seen, np.zeros(len(words.usable) - len(seen), np.int64)))
-            seen += np.bincount(block.numbers[np.repeat(block.usable, np.diff(block.at))], minlength=len(seen))
-        yield sums()
+        held, waiting = [], 0
+        for part in blocks(batches, BLOCK_BYTES):
+            aligned = AlignedWords(part.column("text"), first, second)
+            times = aligned.texts_with()[aligned.owner]
+            seen = times > 0
+            held.append(_added(aligned.pairs[seen], times[seen]))
+            waiting += len(held[-1][0])
+            if waiting > HELD_PAIRS:
+                held = [_added(*map(np.concatenate, zip(*held)))]
+                waiting = 0
+                if len(held[0][0]) > HELD_PAIRS:
+                    yield _pair_rows(*held.pop())
+        if held:
+            yield _pair_rows(*_added(*map(np.concatenate, zip(*held))))
 
     return docs.select("text").mapInArrow(run, PAIRS)
 
 
+def _pair_rows(pairs: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n.astype(np.int64))], ["pair", "n"])
+
+
 # ---------------------------------------------------------------- minimal perfect hash of the pairs
 
 
@@ -399,48 +449,32 @@ def align(
     index = build_index(materialize(pair_sums(chosen, first, second)), folder, second_size, bucket_pairs, fan_in)
 
     def run(batches):
-        words, lookup, best = Words(first, second), Buckets(index.folder, index.buckets, counted=True), index.best
-        per_word = np.zeros((6, 0), np.int64)
-        for part in blocks(batches):
-            if words.size > CACHE_BYTES:
-                words.clear()
-                per_word = np.zeros((6, 0), np.int64)
-            block = Block(words, part.column("text").to_pylist())
-            per_word = _extended(per_word, words, block, lookup, best)
-            sums = [block.sums(v[block.numbers]) * block.usable for v in per_word]
-            groups = [
-                ";".join(map(words.groups.__getitem__, block.numbers[a:b].tolist())) if usable else ""
-                for a, b, usable in zip(block.at[:-1].tolist(), block.at[1:].tolist(), block.usable.tolist())
-            ]
-            columns = [part.column("doc_id"), *map(pa.array, sums), pa.array(groups, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in ALIGNED.split(", ")])
+        lookup, best = Buckets(index.folder, index.buckets, counted=True), index.best
+        for part in blocks(batches, BLOCK_BYTES):
+            aligned = AlignedWords(part.column("text"), first, second)
+            # words of unusable texts only may hold pairs that were never counted
+            wanted = (aligned.texts_with() > 0)[aligned.owner]
+            counts = np.zeros(len(aligned.pairs), np.int64)
+            counts[wanted] = lookup.counts(aligned.pairs[wanted])
+            highest = wanted & (counts == best[aligned.pairs & 0xFFFFFFFF])
+            n = len(aligned.usable)
+            per_word = [aligned.a.counts, aligned.b.counts, aligned.n_groups, aligned.n_links]
+            per_word += [np.bincount(aligned.owner[highest], minlength=n), _grouped_sum(aligned.owner, counts, n)]
+            sums = [pa.array(aligned.words.sums(v) * aligned.text_usable) for v in per_word]
+            words, at = aligned.words, aligned.words.at
+            lists = pa.LargeListArray.from_arrays(pa.array(at.astype(np.int64)), aligned.groups().take(pa.array(words.which)))
+            joined = pc.binary_join(lists, pa.scalar(";", pa.large_string()))
+            groups = pc.if_else(pa.array(aligned.text_usable), joined, pa.scalar("", pa.large_string())).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *sums, groups], [f.split()[0] for f in ALIGNED.split(", ")])
 
     return chosen.mapInArrow(run, ALIGNED)
 
 
-def _extended(known: np.ndarray, words: Words, block: Block, lookup: Buckets, best: np.ndarray) -> np.ndarray:
-    """Tokens of both sides, groups, links, links of the highest count and summed counts of the words met so far.
-
-    Words that occur in unusable texts only may hold pairs that were never counted; they are left at
-    zero until a usable text has them.
-    """
-    n = len(words.usable)
-    grown = np.concatenate((known, np.full((known.shape[0], n - known.shape[1]), -1, np.int64)), axis=1)
-    wanted = np.unique(block.numbers[np.repeat(block.usable, np.diff(block.at))])
-    wanted = wanted[grown[0, wanted] < 0]
-    if len(wanted):
-        links = [words.pairs[w] for w in wanted.tolist()]
-        sizes = np.array([len(x) for x in links])
-        pairs = np.concatenate(links)
-        counts = lookup.counts(pairs)
-        owner = np.repeat(np.arange(len(wanted)), sizes)
-        highest = (counts == best[pairs & 0xFFFFFFFF]).astype(np.int64)
-        total, top = np.zeros(len(wanted), np.int64), np.zeros(len(wanted), np.int64)
-        np.add.at(total, owner, counts)
-        np.add.at(top, owner, highest)
-        sides = [np.array([c[w] for w in wanted.tolist()], np.int64) for c in (words.n_a, words.n_b, words.n_groups)]
-        grown[:, wanted] = [*sides, sizes, top, total]
-    return grown
+def _grouped_sum(owner: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of integers whose owners ascend, exactly."""
+    running = np.concatenate(([0], np.cumsum(values)))
+    at = np.searchsorted(owner, np.arange(n + 1))
+    return running[at[1:]] - running[at[:-1]]
 
 
 def op13_alignment(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,102 +2,142 @@
 
 Rows are range-partitioned and sorted by id. Each task encodes its texts, appends the closing id
 to each and writes the running ids into one file in the Arrow file format: record batches of
-``batch_rows`` rows with the columns ``ids`` (fixed-size list of ``length`` unsigned 32-bit
-integers) and ``mask`` (fixed-size list of bytes: 1 a token, 0 padding, which only ends a file). A
-second small file holds doc_id, start and n_tokens of its documents. All batches but the last have
+``batch_rows`` rows with the columns ``ids`` (fixed-size list of ``length`` unsigned integers, 16
+bits if the vocabulary allows, else 32) and ``mask`` (fixed-size list of bits: 1 a token, 0
+padding, which only ends a file). A second small file holds doc_id, start and n_tokens of its documents. All batches but the last have
 the same shape, so sequence i or token t is found by arithmetic, and ``SequenceFile`` hands out
 views of the memory-mapped file. A table of the files, in order, with the number of ids before each
 is the catalogue; it lists only files of tasks that finished, so retried or lost tasks leave
 nothing a reader sees.
 
-Words (text between blanks or line feeds) are encoded once per task by the tokenizer library and
-their ids joined: white space is dropped before merging, so no token and no special string reaches
-across a blank.
+White space is dropped before merging, so no token and no special string reaches across a blank:
+each different word of a block of 16 MB is encoded once, and its ids are gathered for all its places.
 
 Scale: one shuffle of the texts, as a global order needs; the number of files follows the bytes of
 text, 64 MB each. Rows that repeat an id are ordered by a hash of their text and spread by the
-partition they come from, so a repeated id or row is no hot key. A task holds one batch of
-sequences and a bounded word cache. The catalogue has a row per file (some 10^6 at 100 TB), summed
+partition they come from, so a repeated id or row is no hot key. A task holds a block of texts with
+its ids, one batch of sequences and a bounded cache of pre-tokens. The catalogue has a row per file (some 10^6 at 100 TB), summed
 in two levels.
 
 Cases: null or empty text is the closing id alone; null ids come first and stay null; repeated rows
 are written as often as they come; an empty table gives an empty catalogue; bytes that are no UTF-8
-count as U+FFFD; other columns are ignored; a very long text is encoded in parts and runs through
-as many sequences as it fills.
+count as U+FFFD; other columns are ignored; a very long text is a block of its own and runs through as many
+sequences as it fills.
 """
 
 from __future__ import annotations
 
-import re
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from helixmill.llm.text import blocks
+from helixmill.llm.spaced import SpacedWords, gather
+from helixmill.llm.text import Characters, blocks, flat_utf8
+from helixmill.llm.token_counts import byte_symbols, normalise
 from helixmill.llm.warc import storage
 from helixmill.session import materialize, shared_folder
 
 FILE_BYTES = 64 << 20
-CACHE_BYTES = 64 << 20
-PART_CHARS = 1 << 21
-INDEX_ROWS = 1 << 16
+BLOCK_BYTES = 1 << 24
+KNOWN_TOKENS = 400_000
+WORD_END = b"\xff"
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 CATALOGUE = "part int, file string, n_documents long, n_tokens long"
 DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary"
-WORD = re.compile(r"[^ \n]+")
 
 
-def sequence_schema(length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+def sequence_schema(length: int, kind: type) -> pa.Schema:
+    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 class WordEncoder:
-    """Ids of texts as bytes of little-endian unsigned 32-bit integers; each different word is encoded once."""
+    """Ids of all texts of a block; each different word, and of these each different pre-token, is encoded once.
+
+    Pre-tokens are merged by a byte-pair encoder to which the word end is one more byte (0xFF, which
+    no UTF-8 holds): its merges with a last byte come before all others, as in the vocabulary.
+    Words with a special string are left to the tokenizer library.
+    """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.size = Tokenizer.from_file(path), {}, 0
-
-    def _learn(self, words: set[str]) -> None:
-        new = sorted(words.difference(self.known))
-        if not new:
-            return
-        if self.size > CACHE_BYTES:
-            self.known, self.size, new = {}, 0, sorted(words)
-        for word, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            ids = np.array(found.ids, "<u4").tobytes()
-            self.known[word] = ids
-            self.size += 4 * len(word) + len(ids) + 200
-
-    def text(self, text: str) -> Iterator[bytes]:
-        """The ids of one text, part by part."""
-        at = 0
-        while at < len(text):
-            to = len(text)
-            if to - at > PART_CHARS:
-                blank = text.find(" ", at + PART_CHARS)
-                to = blank if blank >= 0 else to
-            words = WORD.findall(text, at, to)
-            self._learn(set(words))
-            yield b"".join(map(self.known.__getitem__, words))
-            at = to
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        suffix, byte_of = spec["model"]["end_of_word_suffix"], {sign: n for n, sign in enumerate(byte_symbols())}
+        ranks = {}
+        for entry, n in spec["model"]["vocab"].items():
+            final = entry.endswith(suffix) and len(entry) > len(suffix)
+            body = entry.removesuffix(suffix) if final else entry
+            if all(c in byte_of for c in body):
+                ranks[bytes(byte_of[c] for c in body) + (WORD_END if final else b"")] = n
+        self.library = Tokenizer.from_file(path)
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        for name in self.special:
+            ranks.pop(name.encode(), None)
+        self.encode = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self.known: dict[str, bytes] = {}
+        self.kind = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
+
+    def _tokens(self, different: list[str]) -> list[bytes]:
+        new = [w for w in different if w not in self.known]
+        if len(self.known) + len(new) > KNOWN_TOKENS:
+            self.known, new = {}, different
+        found = [self.encode(word.encode() + WORD_END) for word in new]
+        sizes, at, width = [len(f) for f in found], 0, np.dtype(self.kind).itemsize
+        flat = np.fromiter(chain.from_iterable(found), self.kind, sum(sizes)).tobytes()
+        for word, size in zip(new, sizes):
+            self.known[word] = flat[at : at + size * width]
+            at += size * width
+        return [self.known[w] for w in different]
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words end to end, and how many each has."""
+        wide = pc.invert(pc.string_is_ascii(words))
+        own = pa.array([normalise(w) for w in words.filter(wide).to_pylist()], pa.large_string())
+        chars = Characters(*flat_utf8(pc.replace_with_mask(pc.ascii_lower(words), wide, own)))
+        begins, ends = chars.spans(attach_space=False)
+        different, which = chars.distinct(begins, ends) if len(begins) else ([], np.zeros(0, np.int64))
+        known = self._tokens(different)
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // np.dtype(self.kind).itemsize
+        ids = gather(np.frombuffer(b"".join(known), self.kind), sizes, which)
+        running = np.concatenate(([0], np.cumsum(sizes[which])))
+        return ids, np.diff(running[chars.per_text(begins)])
+
+    def block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and how many each has."""
+        words = SpacedWords(texts)
+        if not len(words.distinct):
+            return np.zeros(0, self.kind), np.zeros(len(texts), np.int64)
+        ids, sizes = self._words(words.distinct)
+        marked = np.flatnonzero(pc.match_substring(words.distinct, "<|").to_numpy(zero_copy_only=False))
+        odd = {n: w for n in marked.tolist() if any(s in (w := words.distinct[n].as_py()) for s in self.special)}
+        if odd:
+            parts = np.split(ids, np.cumsum(sizes)[:-1])
+            for n, word in odd.items():
+                parts[n] = np.array(self.library.encode(word, add_special_tokens=False).ids, self.kind)
+                sizes[n] = len(parts[n])
+            ids = np.concatenate(parts)
+        return gather(ids, sizes, words.which), words.sums(sizes)
 
 
 class SequenceWriter:
     """Ids in, record batches of full sequences out."""
 
-    def __init__(self, out, length: int, batch_rows: int):
-        self.length, self.schema = length, sequence_schema(length)
+    def __init__(self, out, length: int, batch_rows: int, kind: type):
+        self.length, self.schema = length, sequence_schema(length, kind)
         self.writer = pa.ipc.new_file(out, self.schema)
-        self.buffer, self.used, self.written = np.zeros(length * batch_rows, np.uint32), 0, 0
+        self.buffer, self.used, self.written = np.zeros(length * batch_rows, kind), 0, 0
 
     def append(self, ids: np.ndarray) -> None:
         while len(ids):
@@ -112,7 +152,7 @@ class SequenceWriter:
         if rows:
             ids = self.buffer[: rows * self.length]
             ids[self.used :] = 0
-            mask = (np.arange(rows * self.length) < self.used).astype(np.uint8)
+            mask = np.arange(rows * self.length) < self.used
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(a), self.length) for a in (ids, mask)]
             self.writer.write_batch(pa.record_batch(lists, schema=self.schema))
         self.written, self.used = self.written + self.used, 0
@@ -138,25 +178,25 @@ class SequenceFile:
     def __len__(self) -> int:
         return (self.batches - 1) * self.batch_rows + self.reader.get_batch(self.batches - 1).num_rows if self.batches else 0
 
-    def _column(self, n: int, name: str) -> np.ndarray:
+    def _column(self, n: int, name: str) -> pa.Array:
         if n != self._at:
             self._at, self._batch = n, self.reader.get_batch(n)
-        return self._batch.column(name).values.to_numpy(zero_copy_only=True)
+        return self._batch.column(name).values
 
-    def sequence(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of the n-th sequence."""
+    def sequence(self, n: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Ids and mask (bits) of the n-th sequence, both views of the file."""
         if not 0 <= n < len(self):
             raise IndexError(n)
         batch, row = divmod(n, self.batch_rows)
-        here = slice(row * self.length, (row + 1) * self.length)
-        return self._column(batch, "ids")[here], self._column(batch, "mask")[here]
+        ids, mask = (self._column(batch, name).slice(row * self.length, self.length) for name in ("ids", "mask"))
+        return ids.to_numpy(zero_copy_only=True), mask
 
     def tokens(self, start: int, n: int) -> Iterator[np.ndarray]:
         """The ids from ``start`` on, as one view per record batch they lie in."""
         size = self.length * self.batch_rows
         while n > 0:
             batch, at = divmod(start, size)
-            view = self._column(batch, "ids")[at : at + n]
+            view = self._column(batch, "ids").slice(at, n).to_numpy(zero_copy_only=True)
             yield view
             start, n = start + len(view), n - len(view)
 
@@ -191,27 +231,16 @@ def write_token_files(
         system, root = storage(folder)
         system.create_dir(root, recursive=True)
         name = uuid.uuid4().hex
-        encoder, end, start, documents = WordEncoder(path), np.array([closing], np.uint32), 0, 0
+        encoder, start, documents = WordEncoder(path), 0, 0
         with system.open_output_stream(f"{root}/{name}.arrow") as out, system.open_output_stream(f"{root}/{name}.docs.arrow") as list_out:
-            sequences, index, rows = SequenceWriter(out, length, batch_rows), pa.ipc.new_file(list_out, INDEX), []
-
-            def list_rows():
-                index.write_batch(pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows)], schema=INDEX))
-                rows.clear()
-
-            for block in blocks(b for group in ([first], batches) for b in group):
-                for doc_id, text in zip(block.column("doc_id").to_pylist(), block.column("text").to_pylist()):
-                    n = 1
-                    for part in encoder.text(text or ""):
-                        sequences.append(np.frombuffer(part, "<u4"))
-                        n += len(part) // 4
-                    sequences.append(end)
-                    rows.append((doc_id, start, n))
-                    start, documents = start + n, documents + 1
-                    if len(rows) == INDEX_ROWS:
-                        list_rows()
-            if rows:
-                list_rows()
+            sequences, index = SequenceWriter(out, length, batch_rows, encoder.kind), pa.ipc.new_file(list_out, INDEX)
+            for block in blocks((b for group in ([first], batches) for b in group), BLOCK_BYTES):
+                ids, sizes = encoder.block(block.column("text"))
+                sequences.append(np.insert(ids, np.cumsum(sizes), closing))
+                sizes = sizes + 1
+                ends = start + np.cumsum(sizes)
+                index.write_batch(pa.record_batch([block.column("doc_id"), pa.array(ends - sizes), pa.array(sizes)], schema=INDEX))
+                start, documents = int(ends[-1]), documents + block.num_rows
             index.close()
             sequences.close()
         result = [[TaskContext.get().partitionId()], [f"{folder.rstrip('/')}/{name}"], [documents], [start]]
@@ -267,9 +296,10 @@ def _documents(index: pa.RecordBatch, sequences: SequenceFile, before: int, with
     for start, n in zip(starts.tolist(), index.column("n_tokens").to_pylist()):
         checksum, parts = 0, []
         for view in sequences.tokens(start, n):
-            checksum = zlib.crc32(view, checksum)
+            wide = view.astype("<u4", copy=False)
+            checksum = zlib.crc32(wide, checksum)
             if with_ids:
-                parts.append(view.tobytes())
+                parts.append(wide.tobytes())
         checksums.append(checksum)
         ids.append(b"".join(parts) if with_ids else None)
     columns = [index.column("doc_id"), pa.array(starts + before), index.column("n_tokens"), pa.array(checksums, pa.int64()), pa.array(ids, pa.binary())]

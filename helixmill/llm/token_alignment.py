@@ -23,7 +23,7 @@ bounds the only data sent along with the second pass, next to one path.
 
 Scale: no text is shuffled, only per-task sums. Pairs are limited by which entries of the two
 vocabularies can overlap, not by the corpus. A frequent pair is summed in the task before it
-travels; a frequent bucket does not exist, as buckets hold distinct pairs. Tasks hold a block of 16 MB
+travels; a frequent bucket does not exist, as buckets hold distinct pairs. Tasks hold a block of 8 MB
 of text (or one text) with its tokens and at most ``HELD_PAIRS`` sums.
 
 Cases: null or empty text, and text that one side does not give back byte by byte (a literal
@@ -57,7 +57,8 @@ from helixmill.session import materialize, shared_folder
 
 BUCKET_PAIRS = 1 << 16
 OPEN_BUCKETS = 256
-BLOCK_BYTES = 1 << 24
+BLOCK_BYTES = 1 << 23
+ENCODED_WORDS = 1 << 15
 HELD_PAIRS = 1 << 22
 GAMMA = 2.0
 PAIRS = "pair long, n long"
@@ -97,12 +98,15 @@ def _entries(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Side:
     """Tokens of one side for the words of a block: ids, sizes in bytes, and the word each belongs to."""
 
-    def __init__(self, found: list, entries: tuple):
-        self.entries, counts = entries, np.fromiter(map(len, found), np.int64, len(found))
-        self.ids = np.fromiter(chain.from_iterable(found), np.int64, int(counts.sum()))
-        self.word = np.repeat(np.arange(len(found)), counts)
+    def __init__(self, encode, words: pa.Array, entries: tuple):
+        self.entries, parts = entries, []
+        for at in range(0, len(words), ENCODED_WORDS):  # lists of ids take far more room than arrays
+            found = encode(words.slice(at, ENCODED_WORDS).to_pylist())
+            counts = np.fromiter(map(len, found), np.int64, len(found))
+            parts.append((counts, np.fromiter(chain.from_iterable(found), np.int64, int(counts.sum()))))
+        self.counts, self.ids = map(np.concatenate, zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.word = np.repeat(np.arange(len(words)), self.counts)
         self.sizes = entries[2][self.ids]
-        self.counts = counts
 
     def keep(self, usable: np.ndarray) -> None:
         kept = usable[self.word]
@@ -124,16 +128,20 @@ class AlignedWords:
     def __init__(self, texts: pa.Array, first: str, second: str):
         a, a_entries, b, b_entries = _tokenizers(first, second)
         self.words = SpacedWords(texts)
-        distinct = self.words.distinct.to_pylist()
-        left = [a.encode_ordinary(w) for w in distinct]
-        right = b.encode([w[1:] if w[0] == " " else w for w in distinct], num_threads=1)
-        blank = b.piece_to_id("▁")
-        for n, word in enumerate(distinct):
-            if word[0] != " ":
-                right[n] = right[n][1:] if right[n][:1] == [blank] else []
-            elif len(word) == 1:
-                right[n] = [blank]
-        self.a, self.b = Side(left, a_entries), Side(right, b_entries)
+        blank = [b.piece_to_id("▁")]
+
+        def second_ids(words: list[str]) -> list[list[int]]:
+            found = b.encode([w[1:] if w[0] == " " else w for w in words], num_threads=1)
+            for n, word in enumerate(words):
+                if word[0] != " ":
+                    found[n] = found[n][1:] if found[n][:1] == blank else []
+                elif len(word) == 1:
+                    found[n] = blank
+            return found
+
+        encode = a._core_bpe.encode_ordinary
+        self.a = Side(lambda words: [encode(w) for w in words], self.words.distinct, a_entries)
+        self.b = Side(second_ids, self.words.distinct, b_entries)
         data, bounds = flat_utf8(self.words.distinct)
         self.usable = self._same_bytes(data, bounds)
         for side in (self.a, self.b):

@@ -11,7 +11,7 @@ is the catalogue; it lists only files of tasks that finished, so retried or lost
 nothing a reader sees.
 
 White space is dropped before merging, so no token and no special string reaches across a blank:
-each different word of a block of 16 MB is encoded once, and its ids are gathered for all its places.
+each different word of a block of 8 MB is encoded once, and its ids are gathered for all its places.
 
 Scale: one shuffle of the texts, as a global order needs; the number of files follows the bytes of
 text, 64 MB each. Rows that repeat an id are ordered by a hash of their text and spread by the
@@ -48,7 +48,7 @@ from helixmill.llm.warc import storage
 from helixmill.session import materialize, shared_folder
 
 FILE_BYTES = 64 << 20
-BLOCK_BYTES = 1 << 24
+BLOCK_BYTES = 1 << 23
 KNOWN_TOKENS = 400_000
 WORD_END = b"\xff"
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])

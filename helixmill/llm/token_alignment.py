@@ -23,7 +23,7 @@ bounds the only data sent along with the second pass, next to one path.
 
 Scale: no text is shuffled, only per-task sums. Pairs are limited by which entries of the two
 vocabularies can overlap, not by the corpus. A frequent pair is summed in the task before it
-travels; a frequent bucket does not exist, as buckets hold distinct pairs. Tasks hold a block of 8 MB
+travels; a frequent bucket does not exist, as buckets hold distinct pairs. Tasks hold a block of 6 MB
 of text (or one text) with its tokens and at most ``HELD_PAIRS`` sums.
 
 Cases: null or empty text, and text that one side does not give back byte by byte (a literal
@@ -57,7 +57,7 @@ from helixmill.session import materialize, shared_folder
 
 BUCKET_PAIRS = 1 << 16
 OPEN_BUCKETS = 256
-BLOCK_BYTES = 1 << 23
+BLOCK_BYTES = 6 << 20
 ENCODED_WORDS = 1 << 15
 HELD_PAIRS = 1 << 22
 GAMMA = 2.0
@@ -474,6 +474,8 @@ def align(
             joined = pc.binary_join(lists, pa.scalar(";", pa.large_string()))
             groups = pc.if_else(pa.array(aligned.text_usable), joined, pa.scalar("", pa.large_string())).cast(pa.string())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *sums, groups], [f.split()[0] for f in ALIGNED.split(", ")])
+            del aligned, words, lists, joined, groups
+            pa.default_memory_pool().release_unused()
 
     return chosen.mapInArrow(run, ALIGNED)
 

@@ -13,6 +13,7 @@ from helixmill.functions import sequence as Q
 from helixmill.operators import charts, composite, filters, report, stats
 from helixmill.operators import enrichment as E
 from helixmill.operators import summaries
+from helixmill.operators import mismatches
 from helixmill.operators import motifs as M
 from helixmill.operators.islands import merge_intervals
 from helixmill.operators.overlap import select_non_overlapping
@@ -311,6 +312,14 @@ def _kmer_pairs(spark, sf):
     return kmer_pairs(dna(spark, sf), T.INVERTED_SEED, T.INVERTED_SEED, T.INVERTED_SEED + T.INVERTED_MAX_LOOP)
 
 
+def _mismatched_repeats(spark, sf):
+    return mismatches.mismatched_repeats(dna(spark, sf)).drop("seq_name", "seq_len", "chunk_start", "chunk_end")
+
+
+def _mismatched_cruciforms(spark, sf):
+    return mismatches.mismatched_cruciforms(dna(spark, sf)).drop("chunk_start", "chunk_end")
+
+
 def _detector_scores(*dets):
     def run(spark, sf):
         parts = [summaries.detector_scores(dna(spark, sf), det) for det in dets]
@@ -390,6 +399,8 @@ QUERIES = {
     "z_dna_motifs": _detector(T.Z_DNA, T.A_PHILIC),
     "slipped_motifs": _detector(T.SLIPPED),
     "cruciform_motifs": _detector(T.CRUCIFORM),
+    "mismatched_repeats": _mismatched_repeats,
+    "mismatched_cruciforms": _mismatched_cruciforms,
     "r_loop_motifs": _detector(T.R_LOOP),
     "triplex_motifs": _detector(T.TRIPLEX),
     "select_non_overlapping": _selected,

@@ -312,6 +312,10 @@ def _kmer_pairs(spark, sf):
     return kmer_pairs(dna(spark, sf), T.INVERTED_SEED, T.INVERTED_SEED, T.INVERTED_SEED + T.INVERTED_MAX_LOOP)
 
 
+def _analyze_seeded(spark, sf):
+    return P.analyze(dna(spark, sf), "seeded").select("seq_id", "class", "subclass", "start", "end", "score", "seed_start", "seed_end")
+
+
 def _mismatched_repeats(spark, sf):
     return mismatches.mismatched_repeats(dna(spark, sf)).drop("seq_name", "seq_len", "chunk_start", "chunk_end")
 
@@ -399,6 +403,7 @@ QUERIES = {
     "z_dna_motifs": _detector(T.Z_DNA, T.A_PHILIC),
     "slipped_motifs": _detector(T.SLIPPED),
     "cruciform_motifs": _detector(T.CRUCIFORM),
+    "analyze_seeded": _analyze_seeded,
     "mismatched_repeats": _mismatched_repeats,
     "mismatched_cruciforms": _mismatched_cruciforms,
     "r_loop_motifs": _detector(T.R_LOOP),

@@ -13,15 +13,18 @@ beats everything it overlaps is selected whatever happens elsewhere. Hence two e
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
+from pyspark.sql.types import BooleanType, ByteType, StructField, StructType
 
 from helixmill.operators.islands import with_island
+from helixmill.session import materialize
 
+ROUND_TILE = 65_536
 ORDER_KEYS = ("k1", "k2", "k3", "k4", "k5")
 
 
@@ -147,6 +150,62 @@ def resolve_open(df: DataFrame, binned: bool = False) -> DataFrame:
     return ordered.mapInArrow(run, df.schema)
 
 
+def select_in_rounds(work: DataFrame, tile_len: int = ROUND_TILE) -> DataFrame:
+    """Greedy selection of rows (seq_id, grp, start, end, slack, k1..k5) by many tasks, even within one group.
+
+    A row belongs to every tile it touches. Inside one tile nothing outside matters: a row that
+    lies whole in it is taken if no better row of the tile meets it, beaten if a taken row does, and
+    stays open if its fate hangs on a row that crosses the tile's border. Rows that cross borders
+    are beaten as soon as one of their tiles says so. What is left open shows no link to rows taken
+    so far, so the next round decides it alone, on tiles eight times as long; a round on tiles longer
+    than the sequence leaves nothing. Open rows are few: they hang on a chain of ever better
+    overlapping rows that reaches a border. Each round is written once.
+    """
+    names = work.columns
+    live = materialize(work.withColumn("_rid", F.monotonically_increasing_id()))
+    taken = []
+    while True:
+        lo, hi = F.col("start") + F.col("slack"), F.col("end")
+        first, last = F.floor(lo / tile_len), F.floor((F.greatest(hi, lo + 1) - 1) / tile_len)
+        copies = live.withColumns({"_lo": lo, "_crosses": last > first, "_first": first})
+        copies = copies.withColumn("_tile", F.explode(F.sequence("_first", last)))
+        cell = ["seq_id", "grp", "_tile"]
+        decided = materialize(_decide_cells(copies.repartition(*cell).sortWithinPartitions(*cell, *ORDER_KEYS)))
+        taken.append(decided.where("_fate = 1").select(names))
+        beaten = decided.where("_crosses and _fate = 0").select("_rid").distinct()
+        open_rows = decided.where("_fate = 2 and _tile = _first").join(beaten, "_rid", "left_anti")
+        live = materialize(open_rows.select(*names, "_rid"))
+        if live.head() is None:
+            return reduce(DataFrame.unionByName, taken)
+        tile_len *= 8
+
+
+def _decide_cells(ordered: DataFrame) -> DataFrame:
+    """``_fate`` of rows sorted by cell and rank: 0 beaten, 1 taken, 2 open."""
+
+    def run(batches):
+        cell, taken, unknown = None, Cover(), Cover()
+        for batch in batches:
+            fate = np.empty(batch.num_rows, np.int8)
+            columns = [batch.column(c).to_pylist() for c in ("seq_id", "grp", "_tile", "_lo", "end", "_crosses")]
+            for n, (seq, grp, tile, lo, hi, crosses) in enumerate(zip(*columns)):
+                if (seq, grp, tile) != cell:
+                    cell, taken, unknown = (seq, grp, tile), Cover(), Cover()
+                if lo >= hi:
+                    fate[n] = 1
+                elif taken.meets(lo, hi):
+                    fate[n] = 0
+                elif crosses or unknown.meets(lo, hi):
+                    unknown.add(lo, hi)
+                    fate[n] = 2
+                else:
+                    taken.add(lo, hi)
+                    fate[n] = 1
+            yield batch.append_column("_fate", pa.array(fate))
+
+    return ordered.mapInArrow(run, StructType([*ordered.schema.fields, StructField("_fate", ByteType())]))
+
+
 def select_non_overlapping(
     motifs: DataFrame, group: list[str], order: list[Column], slack: int = 1, start="start", end="end", binned: bool = True
 ) -> DataFrame:
@@ -154,8 +213,9 @@ def select_non_overlapping(
 
     ``order`` lists up to five expressions, best first when ascending. ``slack=1`` lets two
     1-based inclusive intervals share one base, ``slack=0`` is the half-open test on the given
-    coordinates. ``binned`` cuts even one sequence into many tasks but reads ``motifs`` more than
-    once, so it wants a table; without it, a group's rows pass one streaming window.
+    coordinates. ``binned`` finds islands first and decides each as a whole; it reads ``motifs`` more
+    than once, so it wants a table. Without it tiles are decided in rounds (``select_in_rounds``),
+    which reads ``motifs`` once and cuts islands of any size.
     """
     if len(order) > len(ORDER_KEYS):
         raise ValueError(f"at most {len(ORDER_KEYS)} order expressions")
@@ -169,4 +229,4 @@ def select_non_overlapping(
         F.lit(slack).alias("slack"),
         *[k.alias(name) for k, name in zip(keys, ORDER_KEYS)],
     )
-    return resolve_open(work, binned).select("row.*")
+    return (resolve_open(work, binned=True) if binned else select_in_rounds(work)).select("row.*")

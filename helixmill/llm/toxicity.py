@@ -6,13 +6,13 @@ than each alone. It is fitted on a bounded sample: the ``max_rows`` labelled doc
 smallest seeded hashes of their ids, each different text once, so that groups of copies do not
 vote many times. Spark counts terms over the sample and chooses those that tell: alone, by a test
 of independence, or together with another term, whatever each tells alone. For the second, the
-sample's term sets are broadcast, each task takes a slice of the terms and counts all their pairs;
-a pair tells if its share of toxic texts lies further from the shares of both its terms than
-chance would take any of all the pairs. The machine is fitted on the driver on the sample reduced
+sample's term sets are written to the shared folder, where each Python worker reads them once, and
+each task takes a slice of the terms and counts all their pairs; a pair tells if its share of toxic
+texts lies further from the shares of both its terms than chance would take any of all the pairs. The machine is fitted on the driver on the sample reduced
 to those terms. Scoring is one narrow pass over all texts with the broadcast machine, whose size
-is bounded by ``n_terms`` of each kind. Only the ids and term sets of the sample, bounded too, are
-broadcast, so no text is shuffled. Counting pairs is quadratic in the different terms of a
-sampled text, and does not grow with the table.
+is bounded by ``n_terms`` of each kind. Only the ids of the sample, bounded too, are broadcast, so no
+text is shuffled; the driver holds the sample's term counts and, to fit, its sets of telling terms.
+Counting pairs is quadratic in the different terms of a sampled text, and does not grow with the table.
 
 Cases: null or empty texts get the score of a document without terms; null labels and null ids are
 not learnt; a document labelled twice counts as toxic if one label says so; with nothing to learn
@@ -22,13 +22,18 @@ go to the smaller hash; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from helixmill.llm.text import blocks, flat_utf8
+from helixmill.llm.warc import storage
 from helixmill.llm.words import NOT_ALPHANUMERIC, word_hashes
 from helixmill.session import materialize
 
@@ -143,8 +148,8 @@ def term_counts(rows: DataFrame) -> DataFrame:
     return parts.groupBy("term").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
 
 
-def reduced(rows: DataFrame, chosen: TermFilter) -> tuple[list[np.ndarray], np.ndarray]:
-    """The sets of chosen term numbers and the labels of all rows, in an order that their sets give."""
+def set_rows(rows: DataFrame, chosen: TermFilter) -> DataFrame:
+    """toxic and the numbers of the chosen terms (32-bit integers) of every row."""
     shared = rows.sparkSession.sparkContext.broadcast(chosen)
 
     def run(batches):
@@ -154,10 +159,32 @@ def reduced(rows: DataFrame, chosen: TermFilter) -> tuple[list[np.ndarray], np.n
             sets = [part.astype(np.int32).tobytes() for part in np.split(numbers, at)]
             yield pa.RecordBatch.from_arrays([block.column("toxic"), pa.array(sets, pa.binary())], ["toxic", "terms"])
 
-    found = sorted((bytes(r["terms"]), r["toxic"]) for r in rows.mapInArrow(run, "toxic int, terms binary").collect())
+    return rows.mapInArrow(run, "toxic int, terms binary")
+
+
+def reduced(rows: DataFrame, chosen: TermFilter) -> tuple[list[np.ndarray], np.ndarray]:
+    """The sets of chosen term numbers and the labels of all rows, in an order that their sets give."""
+    found = sorted((bytes(r["terms"]), r["toxic"]) for r in set_rows(rows, chosen).collect())
     return [np.frombuffer(terms, np.int32) for terms, _ in found], np.array([toxic for _, toxic in found], float)
 
 
+@lru_cache(1)
+def held_sets(files: tuple[str, ...], n_terms: int) -> tuple:
+    """Written sets as arrays, once per Python worker: all terms end to end, where each set begins, its
+    size, whether it is toxic, and for each term the sets that hold it and where they begin."""
+    tables = []
+    for name in files:
+        system, path = storage(name)
+        tables.append(pq.read_table(path, filesystem=system, columns=["toxic", "terms"]))
+    table = pa.concat_tables(tables)
+    size = pc.binary_length(table.column("terms")).to_numpy().astype(np.int64) // 4
+    flat = np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(x.as_buffer(), np.int32) for x in table.column("terms"))])
+    order = np.argsort(flat, kind="stable")
+    holders = np.repeat(np.arange(len(size), dtype=np.int32), size)[order]
+    places = np.append(0, np.cumsum(np.bincount(flat, minlength=n_terms)))
+    return flat, np.cumsum(size) - size, size, table.column("toxic").to_numpy() > 0, holders, places
+
+
 def surprise(n: np.ndarray, bad: np.ndarray, share: np.ndarray) -> np.ndarray:
     """Minus the logarithm of a bound on the chance to see ``bad`` of n or further off, each bad by ``share``."""
     seen, share = bad / n, np.clip(share, 1e-6, 1 - 1e-6)
@@ -173,20 +200,11 @@ def telling_in_pairs(rows: DataFrame, terms: np.ndarray, n: np.ndarray, bad: np.
     terms, n, bad = terms[able], n[able], bad[able]
     if len(terms) < 2:
         return terms[:0]
-    sets, labels = reduced(rows, TermFilter(terms))
-    size = np.array([len(s) for s in sets])
-    flat, heads = np.concatenate(sets), np.cumsum(size) - size
-    del sets
-    order = np.argsort(flat, kind="stable")
-    holders = np.repeat(np.arange(len(size), dtype=np.int32), size)[order]
-    del order
-    places = np.append(0, np.cumsum(np.bincount(flat, minlength=len(terms))))
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast((flat, heads, size, labels > 0, holders, places, bad / n))
-    del flat, holders
+    files = tuple(sorted(materialize(set_rows(rows, TermFilter(terms))).inputFiles()))
+    alone, spark = bad / n, rows.sparkSession
 
     def run(batches):
-        flat, heads, size, toxic, holders, places, alone = shared.value
+        flat, heads, size, toxic, holders, places = held_sets(files, len(alone))
         best = np.zeros(len(alone))
 
         def partners(docs):
@@ -219,9 +237,7 @@ def telling_in_pairs(rows: DataFrame, terms: np.ndarray, n: np.ndarray, bad: np.
 
     parts = spark.range(0, len(terms), 1, 4 * spark.sparkContext.defaultParallelism).mapInArrow(run, "id long, told double")
     best = parts.groupBy("id").agg(F.max("told").alias("told")).orderBy(F.desc("told"), "id").limit(n_terms)
-    told = [r["id"] for r in best.collect()]
-    shared.destroy()
-    return terms[told]
+    return terms[[r["id"] for r in best.collect()]]
 
 
 def learn(
@@ -234,8 +250,8 @@ def learn(
     if not n:
         return None
     share = (bad + 1) / (n + 2)
-    counted = term_counts(rows).where(F.col("n") >= min_docs).collect()
-    each = np.array([(r["term"], r["n"], r["bad"]) for r in counted], np.int64).reshape(-1, 3)
+    counted = term_counts(rows).where(F.col("n") >= min_docs).toArrow()
+    each = np.stack([counted.column(c).to_numpy() for c in ("term", "n", "bad")], axis=1)
     each = each[np.argsort(each[:, 0])]
     deviation = np.abs(each[:, 2] - each[:, 1] * share) / np.sqrt(each[:, 1] * share * (1 - share))
     alone = np.argsort(-deviation, kind="stable")[:n_terms]

@@ -9,6 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 SPLIT_BYTES = 128 * 1024 * 1024
+_LOCAL_FOLDERS: dict[str, str] = {}
 
 
 def local_session(cores: int | str = "*", app: str = "helixmill", memory: str = "16g") -> SparkSession:
@@ -47,9 +48,10 @@ def shared_folder(spark: SparkSession) -> str | None:
     if folder:
         return folder.rstrip("/")
     if spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        return folder
+        application = spark.sparkContext.applicationId
+        if application not in _LOCAL_FOLDERS:  # the setting itself cannot be changed in a running session
+            _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        return _LOCAL_FOLDERS[application]
     return None
 
 

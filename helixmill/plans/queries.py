@@ -263,6 +263,11 @@ def _enrichment(spark, sf):
     )
 
 
+def _enrichment_detectors(spark, sf):
+    """All detectors and composites against 100 shuffled copies of every sequence."""
+    return charts.enrichment_panel(P.permutation_enrichment(dna(spark, sf)))
+
+
 def _pipeline(flavour):
     def run(spark, sf):
         return P.analyze(dna(spark, sf), flavour).select("seq_id", "seq_name", "class", "subclass", "start", "end", "length", "score")
@@ -283,6 +288,20 @@ def _patterns(spark, sf):
     return catalogs.pattern_counts(registry).join(hits, "class")
 
 
+def _registry_counts(spark, sf):
+    """Every registry class: its patterns next to what they find, zero where nothing is found."""
+    registry = catalogs.catalog(spark, "registry")
+    hits = scan_patterns(dna(spark, sf), registry).groupBy("class").agg(
+        F.count(F.lit(1)).alias("n_hits"), F.countDistinct("seq_id").alias("n_sequences"), F.sum(F.col("end") - F.col("start") + 1).alias("bases")
+    )
+    patterns = catalogs.pattern_counts(registry).where("class <> 'total'")
+    return patterns.join(hits, "class", "left").na.fill(0, ["n_hits", "n_sequences", "bases"])
+
+
+def _all_seed_hits(spark, sf):
+    return P.seed_hits(dna(spark, sf)).select("seq_id", "class", "pattern_id", "subclass", "start", "end")
+
+
 def _g4_counts(spark, sf):
     """Flagship slice: scan, motif rows, count and mean length by class."""
     m = P.analyze(dna(spark, sf), "fast")
@@ -382,7 +401,9 @@ QUERIES = {
     "scan_registry": _catalog_table("registry"),
     "scan_legacy": _catalog_table("legacy"),
     "scan_seeds": _seed_hits,
+    "seed_hits": _all_seed_hits,
     "pattern_counts": _patterns,
+    "registry_counts": _registry_counts,
     "raw_locations": _raw_locations,
     "long_tracts": _candidates(T.CURVED),
     "a_tract_windows": lambda s, d: a_tract_windows(dna(s, d)),
@@ -447,4 +468,5 @@ QUERIES = {
     "analyze_standard": _pipeline("standard"),
     "analyze_modular": _pipeline("modular"),
     "analyze_legacy": _pipeline("legacy"),
+    "enrichment_detectors": _enrichment_detectors,
 }

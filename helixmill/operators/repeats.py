@@ -10,6 +10,7 @@ from helixmill import tables as T
 from helixmill.functions.sequence import revcomp
 from helixmill.operators import kernels as K
 from helixmill.operators.chunks import chunk_sequences
+from helixmill.operators.nearest import nearest_join
 from helixmill.operators.scan import scan_candidates
 
 
@@ -42,6 +43,24 @@ def a_tract_windows(sequences: DataFrame) -> DataFrame:
     return _per_chunk(sequences, schema, rows)
 
 
+def centred_windows(sequences: DataFrame) -> DataFrame:
+    """The called A/T windows with the centre of their A-tract, 0-based."""
+
+    def rows(text, n, lo):
+        for s, e, *_, centre in K.at_windows(text[:n]):
+            if centre is not None:
+                yield s + lo + 1, e + lo, float(centre + lo)
+
+    return _per_chunk(sequences, "seq_id bigint, start bigint, end bigint, center double", rows)
+
+
+def phased_windows(sequences: DataFrame) -> DataFrame:
+    """The A/T window behind each centre of a phased run of A-tracts."""
+    phased = scan_candidates(sequences, (T.CURVED,)).where("family = 'APR'")
+    centres = phased.select("seq_id", (F.col("start") + 1).alias("start"), "end", F.posexplode("centers").alias("nth", "center"))
+    return nearest_join(centres, centred_windows(sequences), ["seq_id"], "center", prefix="window_")
+
+
 def tenmer_regions(sequences: DataFrame, det: int) -> DataFrame:
     """Merged scored 10-mer regions before the score gate."""
     rows = scan_candidates(sequences, (det,))

@@ -435,3 +435,7 @@ ORACLES["score_bins"] = f"""{MOTIFS}, u AS (SELECT class, CAST(round(score * 100
   SELECT class, CAST(CASE WHEN hi > lo THEN least(floor((v - lo) / ((hi - lo) / 20)), 19) ELSE 0 END AS INTEGER) AS bin, count(*) AS n FROM u JOIN r USING (class) GROUP BY 1, 2"""
 ORACLES["composite_summary"] = f"""SELECT (SELECT count(*) FROM ({ORACLES['hybrid_pairs']})) AS n_hybrid, (SELECT count(*) FROM ({ORACLES['cluster_windows']})) AS n_cluster,
   (SELECT CAST(coalesce(floor(avg(l)), 0) AS BIGINT) FROM (SELECT "end" - "start" AS l FROM ({ORACLES['hybrid_pairs']}) UNION ALL SELECT "end" - "start" FROM ({ORACLES['cluster_windows']}))) AS avg_length"""
+ORACLES["nearest_windows"] = f"""{MOTIFS}, q AS (SELECT seq_id, pattern_id, "start", "end", "start" + "end" AS middle FROM m),
+  w AS (SELECT seq_id, min("start") AS s, min_by("end", "start") AS e, s2 AS mid FROM (SELECT *, "start" + "end" AS s2 FROM ({ORACLES['a_tract_windows']}) WHERE call) GROUP BY seq_id, s2),
+  b AS (SELECT q.seq_id, q.middle, arg_min(struct_pack(s := s, e := e, mid := mid), (2 * abs(mid - q.middle) + CASE WHEN mid > q.middle THEN 1 ELSE 0 END)) AS r FROM (SELECT DISTINCT seq_id, middle FROM q) q JOIN w USING (seq_id) GROUP BY 1, 2)
+  SELECT q.seq_id, pattern_id, q."start", q."end", middle, r.s AS near_start, r.e AS near_end, CAST(r.mid - middle AS DOUBLE) AS distance FROM q LEFT JOIN b USING (seq_id, middle)"""

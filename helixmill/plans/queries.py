@@ -16,8 +16,9 @@ from helixmill.operators import summaries
 from helixmill.operators import mismatches
 from helixmill.operators import motifs as M
 from helixmill.operators.islands import merge_intervals
+from helixmill.operators.nearest import nearest_join
 from helixmill.operators.overlap import select_non_overlapping
-from helixmill.operators.repeats import a_tract_windows, direct_repeats, inverted_repeats, kmer_pairs, mirror_repeats, tandem_repeats, tenmer_regions
+from helixmill.operators.repeats import a_tract_windows, direct_repeats, inverted_repeats, kmer_pairs, mirror_repeats, phased_windows, tandem_repeats, tenmer_regions
 from helixmill.operators.scan import scan_patterns
 from helixmill.plans import pipelines as P
 from helixmill.session import materialize, spread_if_narrow
@@ -268,6 +269,14 @@ def _enrichment_detectors(spark, sf):
     return charts.enrichment_panel(P.permutation_enrichment(dna(spark, sf)))
 
 
+def _nearest_windows(spark, sf):
+    """For every motif the called A/T window whose middle is closest to its own, by twice the middles."""
+    middle = (F.col("start") + F.col("end")).alias("middle")
+    m = motifs_once(spark, sf).select("seq_id", "pattern_id", "start", "end", middle)
+    windows = materialize(a_tract_windows(dna(spark, sf)).where("call").select("seq_id", "start", "end", middle))
+    return nearest_join(m, windows, ["seq_id"], "middle").drop("near_middle")
+
+
 def _pipeline(flavour):
     def run(spark, sf):
         return P.analyze(dna(spark, sf), flavour).select("seq_id", "seq_name", "class", "subclass", "start", "end", "length", "score")
@@ -406,6 +415,8 @@ QUERIES = {
     "registry_counts": _registry_counts,
     "raw_locations": _raw_locations,
     "long_tracts": _candidates(T.CURVED),
+    "nearest_windows": _nearest_windows,
+    "phased_windows": lambda s, d: phased_windows(dna(s, d)),
     "a_tract_windows": lambda s, d: a_tract_windows(dna(s, d)),
     "z_dna_regions": lambda s, d: tenmer_regions(dna(s, d), T.Z_DNA),
     "a_philic_regions": lambda s, d: tenmer_regions(dna(s, d), T.A_PHILIC),

@@ -22,6 +22,7 @@ from helixmill.operators import kernels as K
 
 CHUNK_LEN = 100_000
 CONTEXT = T.CHUNK_CONTEXT
+FLUSH_BYTES = 8 << 20
 
 CHUNK_SCHEMA = (
     "seq_id bigint, seq_name string, seq_len bigint, chunk_start bigint, chunk_end bigint, reach bigint, text string"
@@ -135,14 +136,21 @@ def chunk_sequences(sequences: DataFrame, chunk_len: int = CHUNK_LEN, context: i
     """
 
     def cut(batches):
+        def packed(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=_CHUNK_FIELDS)
+
+        rows, held = [], 0
         for batch in batches:
-            rows = [
-                (seq_id, name, len(bases), *piece)
-                for seq_id, name, bases in zip(*(c.to_pylist() for c in batch.columns))
-                for piece in cut_sequence(bases, chunk_len, context)
-            ]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=_CHUNK_FIELDS)
+            for n in range(batch.num_rows):
+                seq_id, name, bases = (c[n].as_py() for c in batch.columns)
+                for piece in cut_sequence(bases, chunk_len, context):
+                    rows.append((seq_id, name, len(bases), *piece))
+                    held += len(piece[3])
+                    if held >= FLUSH_BYTES:
+                        yield packed(rows)
+                        rows, held = [], 0
+        if rows:
+            yield packed(rows)
 
     return sequences.select("seq_id", "seq_name", "bases").mapInArrow(cut, CHUNK_SCHEMA)
 

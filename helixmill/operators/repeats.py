@@ -11,7 +11,9 @@ from helixmill.functions.sequence import revcomp
 from helixmill.operators import kernels as K
 from helixmill.operators.chunks import chunk_sequences
 from helixmill.operators.nearest import nearest_join
-from helixmill.operators.scan import scan_candidates
+from helixmill.operators.scan import python_rows, scan_candidates
+
+ROWS_AT_ONCE = 50_000
 
 
 def _per_chunk(sequences: DataFrame, schema: str, rows_of) -> DataFrame:
@@ -22,12 +24,15 @@ def _per_chunk(sequences: DataFrame, schema: str, rows_of) -> DataFrame:
     chunks = sequences if "text" in sequences.columns else chunk_sequences(sequences)
 
     def run(batches):
+        out = []
         for batch in batches:
-            out = []
-            for seq_id, _, _, lo, hi, _, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for seq_id, _, _, lo, hi, _, text in python_rows(batch):
                 out += [(seq_id, *row) for row in rows_of(text, hi - lo, lo)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+                if len(out) >= ROWS_AT_ONCE:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+                    out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
     return chunks.mapInArrow(run, schema)
 

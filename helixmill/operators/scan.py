@@ -212,8 +212,18 @@ SCANNERS = {
 }
 
 
+FLUSH_BYTES = 8 << 20
+_ROW_BYTES, _SLICE = 200, 128
+
+
+def python_rows(batch):
+    """The rows of an Arrow batch, of which only a slice is held as Python objects."""
+    for lo in range(0, batch.num_rows, _SLICE):
+        yield from zip(*(c.to_pylist() for c in batch.slice(lo, _SLICE).columns))
+
+
 def _pieces(batch, chunk_len):
-    rows = zip(*(c.to_pylist() for c in batch.columns))
+    rows = python_rows(batch)
     if batch.num_columns > 3:
         for seq_id, name, seq_len, lo, hi, reach, text in rows:
             yield seq_id, name, seq_len, lo, hi, reach, text, None
@@ -234,8 +244,8 @@ def scan_candidates(source: DataFrame, detectors=tuple(SCANNERS), chunk_len: int
     chunk_len = chunk_len or CHUNK_LEN
 
     def run(batches):
+        columns, held = {name: [] for name in _FIELDS}, 0
         for batch in batches:
-            columns = {name: [] for name in _FIELDS}
             for seq_id, name, seq_len, lo, hi, reach, text, first in _pieces(batch, chunk_len):
                 chunk = Chunk(text, hi - lo, lo, seq_len, reach, first)
                 for det in detectors:
@@ -252,7 +262,11 @@ def scan_candidates(source: DataFrame, detectors=tuple(SCANNERS), chunk_len: int
                             columns[key].append(value)
                         for key in _OWN:
                             columns[key].append(row.get(key))
-            yield pa.RecordBatch.from_pydict(columns, schema=_ARROW_SCHEMA)
+                        held += len(row["seq"]) + _ROW_BYTES
+                if held >= FLUSH_BYTES:  # between chunks only
+                    yield pa.RecordBatch.from_pydict(columns, schema=_ARROW_SCHEMA)
+                    columns, held = {name: [] for name in _FIELDS}, 0
+        yield pa.RecordBatch.from_pydict(columns, schema=_ARROW_SCHEMA)
 
     return source.mapInArrow(run, CANDIDATE_SCHEMA)
 
@@ -294,15 +308,22 @@ def scan_patterns(sequences: DataFrame, patterns: DataFrame | list[tuple]) -> Da
 
     def run(batches):
         compiled = [(n, cls, pid, sub, matcher(rx)) for n, (cls, pid, sub, rx) in enumerate(patterns)]
+        names, kinds = [f.split()[0] for f in schema.split(", ")], [_ARROW[f.split()[1]] for f in schema.split(", ")]
+
+        def packed(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], names=names)
+
+        out, held = [], 0
         for batch in batches:
-            out = [
-                (seq_id, name, len(bases), n, cls, pid, sub, s + 1, e, bases[s:e])
-                for seq_id, name, bases in zip(*(c.to_pylist() for c in batch.columns))
-                for n, cls, pid, sub, find in compiled
-                for s, e in find(bases)
-            ]
-            if out:
-                columns = [pa.array(c, _ARROW[f.split()[1]]) for c, f in zip(zip(*out), schema.split(", "))]
-                yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in schema.split(", ")])
+            for seq_id, name, bases in python_rows(batch):
+                for n, cls, pid, sub, find in compiled:
+                    for s, e in find(bases):
+                        out.append((seq_id, name, len(bases), n, cls, pid, sub, s + 1, e, bases[s:e]))
+                        held += e - s + _ROW_BYTES
+                        if held >= FLUSH_BYTES:
+                            yield packed(out)
+                            out, held = [], 0
+        if out:
+            yield packed(out)
 
     return sequences.select("seq_id", "seq_name", "bases").mapInArrow(run, schema)

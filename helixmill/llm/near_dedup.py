@@ -322,12 +322,11 @@ def full_sets(docs: DataFrame, ids: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def ends_of(pairs: DataFrame) -> DataFrame:
-    left, right = (pairs.select(F.col(c).alias("id")).distinct() for c in ("a", "b"))
-    return left.unionByName(right).distinct()
+    return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """The pairs with 100 * intersection >= share * union of their full sets."""
+    """The pairs, each given once, with 100 * intersection >= share * union of their full sets."""
 
     def compare(batches):
         for batch in batches:
@@ -344,12 +343,12 @@ def confirm(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
 
     left = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
     right = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
-    return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long").distinct())
+    return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long"))
 
 
-def members_of_open_buckets(company: DataFrame, keys: DataFrame, linked: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Members of the buckets ``keys`` that hold several components, dealt into blocks of large buckets."""
-    placed = company.where("n > 2").join(keys, "key", "left_semi").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
+def members_of_open_buckets(members: DataFrame, linked: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the buckets ``members(key, rep, n)`` that hold several components, large ones dealt into blocks."""
+    placed = members.join(linked.withColumnRenamed("node", "rep"), "rep", "left")
     placed = placed.select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi").select("key")
     parts = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
@@ -393,11 +392,11 @@ def placed_rows(docs: DataFrame, share: int, id_column: str = "doc_id", text_col
     pairs = materialize(links.where("a is not null").groupBy("a", "b").agg(F.min("apart").alias("apart"), F.max("pair").alias("pair")))
     tried = materialize(pairs.withColumn("_best", F.row_number().over(best)).where(f"_best <= {LINKS} or pair").select("a", "b"))
     sets = full_sets(reps, ends_of(pairs), classes)
-    first = confirm(tried, sets, share)
-    linked = materialize(components(first))
-    keys = materialize(links.where("not pair").select("key").distinct())
+    linked = components(confirm(tried, sets, share))
+    keys = links.where("not pair").select("key").distinct()
+    members = materialize(company.where("n > 2").join(keys, "key", "left_semi"))
     for nearest in (True, False):
-        spread = members_of_open_buckets(company, keys, linked, classes, sets)
+        spread = members_of_open_buckets(members, linked, classes, sets)
         more = materialize(pairs_across(spread, nearest).distinct().join(tried, ["a", "b"], "left_anti"))
         unknown = materialize(ends_of(more).join(sets.select("id"), "id", "left_anti"))
         if unknown.head() is not None:
@@ -405,8 +404,9 @@ def placed_rows(docs: DataFrame, share: int, id_column: str = "doc_id", text_col
         found = confirm(more, sets, share)
         tried = tried.unionByName(more)
         if found.head() is not None:
-            first = first.unionByName(found)
-            linked = materialize(components(first))
+            # the stars of the components known so far stand for their links
+            stars = linked.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+            linked = components(stars.unionByName(found))
 
     owners = linked.join(classes.select(F.col("rep").alias("node"), "doc_id", "t"), "node")
     owners = owners.groupBy("component").agg(F.min(F.struct("doc_id", "t")).alias("owner"))
@@ -449,5 +449,7 @@ def drop_near_copies(docs: DataFrame, share: int = 75) -> DataFrame:
 
 
 def op1_near_dedup(spark, sf):
-    """Contract query: every document with its set size and component at a similarity of 0.75."""
-    return near_duplicates(spark.read.parquet(f"{sf}/documents.parquet"))
+    """Contract query: every document with its set size and component at a similarity of 0.75; kept tells whether it gives
+    its component the name, also where an id stands on several texts."""
+    found = near_duplicates(spark.read.parquet(f"{sf}/documents.parquet"))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -195,6 +195,25 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert {r.node: r.component for r in found} == {**{n: 100 for n in range(100, 161)}, **{n: 1 for n in range(1, 60)}}
 
 
+def test_components_over_many_blocks(spark, monkeypatch):
+    """Links that are contracted in several tasks need the star steps; null ends and loops are no links."""
+    r = random.Random(7)
+    links = [(r.randrange(3000), r.randrange(3000)) for _ in range(1400)] + [(5000 + n, 5000) for n in range(1, 700)] + [(6000 + n, 6001 + n) for n in range(200)]
+    r.shuffle(links)
+    label = {n: n for link in links for n in link if link[0] != link[1]}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            if a != b and label[a] != label[b]:
+                label[a] = label[b] = min(label[a], label[b])
+                changed = True
+    monkeypatch.setattr("helixmill.llm.components.BLOCK_LINKS", 50)
+    rows = [*links, (None, 1), (2, None), (9, 9)]
+    found = components(spark.createDataFrame(rows, "a long, b long").repartition(16)).collect()
+    assert len(found) == len(label) and {r.node: r.component for r in found} == label
+
+
 def test_language_on_held_out_rows(spark):
     found = language.op3_language(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id")
     held = [(r.lang, r.lang_pred) for r in found.where("held_out").collect()]

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from helixmill.functions import sequence as Q
 from helixmill.operators.islands import covered_length
+from helixmill.operators.quantiles import percentiles
+from helixmill.session import materialize
 
 OVERALL = "Overall"
 
@@ -214,20 +216,16 @@ def class_tree(motifs: DataFrame) -> DataFrame:
 
 
 def value_distribution(motifs: DataFrame, value: str) -> DataFrame:
-    """n, mean, quartiles, deviation and range of score or length per class."""
-    quartiles = F.expr(f"percentile({value}, array(0.25, 0.5, 0.75))")
-    return (
-        motifs.groupBy("class")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.avg(value).alias("mean"),
-            quartiles.alias("q"),
-            F.stddev_pop(value).alias("std"),
-            F.min(value).alias("min"),
-            F.max(value).alias("max"),
-        )
-        .select("class", "n", "mean", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "std", "min", "max")
+    """n, mean, quartiles, deviation and range of score or length per class.
+
+    A class is never gathered in one task: moments are summed before the shuffle, quartiles come from ``percentiles``.
+    """
+    values = materialize(motifs.select("class", value))
+    moments = values.groupBy("class").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max")
     )
+    quartiles = percentiles(values, "class", value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    return moments.join(quartiles, "class", "left").select("class", "n", "mean", "q1", "median", "q3", "std", "min", "max")
 
 
 def histogram(motifs: DataFrame, value: str, bins: int = 20) -> DataFrame:

@@ -22,6 +22,13 @@ def clamp(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
 
 
+def decimals(x, digits: int) -> Column:
+    """Rounded as SQL engines round doubles: the scaled double is taken to the nearest integer, while
+    ``F.round`` looks at its printed digits (1.5594999999999999 gives 1.56 here and 1.559 there)."""
+    scale = F.lit(10.0**digits)
+    return F.round(_col(x) * scale) / scale
+
+
 def tracts(seq, regex: str) -> Column:
     return F.regexp_extract_all(_col(seq), F.lit(f"({regex})"), F.lit(1))
 

@@ -327,7 +327,7 @@ def to_motifs(winners: DataFrame) -> DataFrame:
         F.when(
             (F.col("det") == T.I_MOTIF) & (F.col("family") == "ac_motif_hur"), F.col("seq")
         ).otherwise(F.col("seq")).alias("sequence"),
-        F.round("raw_score", 3).alias("score"),
+        S.decimals("raw_score", 3).alias("score"),
         F.lit("+").alias("strand"),
         F.element_at(methods, F.col("det") + 1).alias("method"),
         _pattern_id().alias("pattern_id"),

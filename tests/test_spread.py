@@ -1,5 +1,7 @@
 """Texts are spread before bases are derived, by their size; detector results are scanned once."""
 
+import os
+
 import pyarrow as pa
 import pyarrow.parquet as pq
 
@@ -29,3 +31,15 @@ def test_one_row_group_is_derived_by_many_tasks(spark, tmp_path, monkeypatch):
 def test_detector_results_read_one_scan(spark, tmp_path):
     plan = queries._merged_results(spark, documents(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" not in plan
+
+
+def test_a_task_reads_about_a_megabyte_at_any_size(spark, tmp_path):
+    def tasks(mb):
+        folder = tmp_path / str(mb)
+        folder.mkdir()
+        texts = [os.urandom(50_000).hex() for _ in range(mb * 10)]
+        pq.write_table(pa.table({"doc_id": range(len(texts)), "text": texts, "source": ["web"] * len(texts)}), folder / "documents.parquet")
+        size = os.path.getsize(folder / "documents.parquet")
+        return size / dna_from_documents(spark, str(folder)).rdd.getNumPartitions()
+
+    assert tasks(24) < 1.5e6 and tasks(72) < 1.5e6

@@ -1,7 +1,7 @@
 """Nearest and as-of joins along a coordinate.
 
 Both sides are reduced to their distinct positions, united and cut into tiles of the axis; inside a
-tile one window finds the last position at or before and the first at or after each one. What lies
+tile windows find the last position at or before and the first at or after each one. What lies
 beyond a tile comes from one carry row per tile, in a second, tiny window. A join back by position
 gives every left row its partner.
 
@@ -21,7 +21,7 @@ TILE = 1 << 16
 
 def nearest_join(
     left: DataFrame, right: DataFrame, keys: list[str], on: str, right_on: str | None = None,
-    direction: str = "nearest", max_distance: float | None = None, prefix: str = "near_", tile: int = TILE,
+    direction: str = "nearest", max_distance: float | None = None, prefix: str = "near_", tile: int = TILE, distinct: bool = False,
 ) -> DataFrame:
     """Every left row with the right row of the same keys that is closest in position.
 
@@ -30,6 +30,7 @@ def nearest_join(
     position). Of right rows that share keys and position the smallest row counts. A left row without a partner, or
     beyond ``max_distance``, or with a null key or position, is kept with nulls; right rows with
     such nulls are never partners. Right columns must be orderable; positions are numbers. Both sides are read twice.
+    ``distinct`` says that few right rows share a position, which saves a shuffle; the result is the same if it is not so.
     """
     right_on = right_on or on
     if direction not in ("nearest", "backward", "forward"):
@@ -42,28 +43,32 @@ def nearest_join(
     def known(df, at):
         return df.dropna(subset=[*keys, at]).select(*keys, F.col(at).cast("double").alias("_at"), *([] if df is left else taken))
 
-    rights = known(right, right_on).groupBy(*keys, "_at").agg(F.min(F.struct(*taken)).alias("_row"))
-    spots = known(left, on).groupBy(*keys, "_at").agg(F.lit(True).alias("_asked"))
+    cell, place = [*keys, "_tile"], F.floor(F.col("_at") / tile).alias("_tile")
+    rights = known(right, right_on).select(*keys, "_at", F.struct(*taken).alias("_row"))
+    if not distinct:
+        rights = rights.groupBy(*keys, "_at").agg(F.min("_row").alias("_row"))
+    rights = rights.select(*keys, "_at", place, F.struct(F.col("_at").alias("at"), F.col("_row").alias("row")).alias("_hit"))
+    spots = known(left, on).groupBy(*keys, "_at").agg(F.lit(True).alias("_asked")).select("*", place)
     both = rights.withColumn("_asked", F.lit(False)).unionByName(spots, allowMissingColumns=True)
-    hit = F.when(F.col("_row").isNotNull(), F.struct(F.col("_at").alias("at"), F.col("_row").alias("row")))
-    both = both.select(*keys, "_at", "_asked", hit.alias("_hit"), F.floor(F.col("_at") / tile).alias("_tile"))
 
     by_key = Window.partitionBy(*keys).orderBy("_tile")
-    ends = both.groupBy(*keys, "_tile").agg(F.max_by("_hit", F.when(~F.col("_asked"), F.col("_at"))).alias("_last"), F.min_by("_hit", F.when(~F.col("_asked"), F.col("_at"))).alias("_first"))
+    back = F.min(F.struct(-F.col("_at"), "_hit"))["_hit"]  # the last position, of its rows the smallest
+    ends = rights.groupBy(*cell).agg(F.min("_hit").alias("_first"), back.alias("_last"))
+    ends = spots.select(*cell).distinct().join(ends, cell, "full")
     carry = ends.select(
-        *keys,
-        "_tile",
+        *cell,
         F.last("_last", True).over(by_key.rowsBetween(Window.unboundedPreceding, -1)).alias("_from_left"),
         F.first("_first", True).over(by_key.rowsBetween(1, Window.unboundedFollowing)).alias("_from_right"),
     )
-    # the same position on both sides counts in either direction: a range window takes in its peers
-    cell = Window.partitionBy(*keys, "_tile").orderBy("_at")
+    # at one position right rows come first, so that they count in either direction, the smallest of them last
+    past = Window.partitionBy(*cell).rowsBetween(Window.unboundedPreceding, 0)
+    tie = ["_asked", F.desc("_hit")]
     near = both.select(
         "*",
-        F.max(F.col("_hit")).over(cell.rangeBetween(Window.unboundedPreceding, 0)).alias("_in_left"),
-        F.min(F.col("_hit")).over(Window.partitionBy(*keys, "_tile").orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, 0)).alias("_in_right"),
+        F.last("_hit", True).over(past.orderBy("_at", *tie)).alias("_in_left"),
+        F.last("_hit", True).over(past.orderBy(F.desc("_at"), *tie)).alias("_in_right"),
     ).where("_asked")
-    near = near.join(carry, [*keys, "_tile"])
+    near = near.join(carry, cell)
     before, after = F.coalesce("_in_left", "_from_left"), F.coalesce("_in_right", "_from_right")
     back, ahead = F.col("_at") - before["at"], after["at"] - F.col("_at")
     best = {

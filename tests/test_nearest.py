@@ -5,7 +5,7 @@ import random
 import pytest
 
 from helixmill.operators.nearest import nearest_join
-from helixmill.operators.repeats import phased_windows
+from helixmill.operators.repeats import a_tract_windows, called_windows, phased_windows
 
 LEFT, RIGHT = "seq_id long, pos long, note string", "seq_id long, pos long, score double, note string"
 
@@ -53,3 +53,23 @@ def test_centres_of_phased_runs_have_their_window(spark):
     found = phased_windows(spark.createDataFrame([(1, "s", bases), (2, "t", "ACGT")], "seq_id long, seq_name string, bases string")).collect()
     assert len(found) >= 6
     assert all(x.distance == 0 and x.window_start - 1 <= x.center <= x.window_end for x in found)
+
+
+@pytest.mark.parametrize("tile", [8, 1 << 16])
+def test_rows_said_to_be_distinct_need_not_be(spark, tile):
+    r = random.Random(9)
+    left = [(r.randrange(3), r.randrange(-50, 600), f"l{n}") for n in range(150)]
+    right = [(r.randrange(3), r.randrange(600) // 20 * 20, r.randrange(9) / 2, "x") for _ in range(90)]
+    sides = spark.createDataFrame(left, LEFT), spark.createDataFrame(right, RIGHT)
+    found = nearest_join(*sides, ["seq_id"], "pos", tile=tile, distinct=True)
+    assert sorted(map(tuple, found.collect())) == sorted(plain(row, right, "nearest", None) for row in left)
+    plans = [nearest_join(*sides, ["seq_id"], "pos", distinct=d)._jdf.queryExecution().optimizedPlan().toString() for d in (True, False)]
+    assert plans[0].count("Aggregate") < plans[1].count("Aggregate")
+
+
+def test_called_windows_are_the_called_ones_of_all(spark):
+    bases = "".join(random.Random(2).choices(["AAAAATGC", "TTTAAG", "CGN", "TATATAC"], k=30_000))
+    sequences = spark.createDataFrame([(1, "s", bases), (2, "t", "")], "seq_id long, seq_name string, bases string")
+    assert len(bases) > 150_000
+    want = a_tract_windows(sequences).where("call").select("seq_id", "start", "end").collect()
+    assert want and sorted(called_windows(sequences).collect()) == sorted(want)

@@ -42,3 +42,13 @@ def test_rows_leave_in_slices(spark, monkeypatch):
     want = [len(K.paired_arms(K.to_bytes(t), 6, 100, len(t), True)) for t in (text, "ACG", text[:50])]
     assert len(rows) == sum(want)
     assert all(r.right_start - r.left_start - r.arm == r.loop for r in rows)
+
+
+def test_partners_are_searched_by_word_and_not_at_every_distance(monkeypatch):
+    raw = K.to_bytes("".join(random.Random(3).choices("ACGT", k=3_000)))
+    own, pair = K.word_codes(raw, 6), K.word_codes(raw, 6, "revcomp")
+    calls, nonzero = [], np.flatnonzero
+    monkeypatch.setattr(np, "flatnonzero", lambda x: calls.append(1) or nonzero(x))
+    found = np.concatenate([np.stack(x) for x in K._paired_words(own, pair, own >= 0, 6, 100)], 1)
+    assert len(calls) < 10
+    assert sorted(map(tuple, found.T.tolist())) == [(i, j) for i in range(len(own)) for j in range(i + 6, min(i + 107, len(own))) if own[i] == pair[j]]
